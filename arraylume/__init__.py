@@ -1,0 +1 @@
+"""Array, signal and image analytics as Spark DataFrame plans."""

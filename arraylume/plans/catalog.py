@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from arraylume.plans import catalog_arrays, catalog_images
+
+QUERIES: dict = {**catalog_arrays.CATALOG.queries, **catalog_images.CATALOG.queries}
+ORACLE: dict = {**catalog_arrays.CATALOG.oracle, **catalog_images.CATALOG.oracle}
 FLAGSHIP = "flagship_revenue"
