@@ -59,7 +59,7 @@ def convert(df: DataFrame, source: str, target: str, target_encoding: str | None
             if target_encoding not in ENCODINGS:
                 raise ValueError(f"an encoding is one of {', '.join(ENCODINGS)}")
             other = srgb_to_linear(v) if target_encoding == "linear" else linear_to_srgb(v)
-            return F.when(F.col("encoding") == target_encoding, v).otherwise(other)
+            return F.when(df["encoding"] == target_encoding, v).otherwise(other)
 
         return F.transform(c, one)
 

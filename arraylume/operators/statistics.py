@@ -10,10 +10,16 @@ from arraylume.operators.series import neighbours
 TINY = 1e-30
 
 
+def _variance(x: Column) -> Column:
+    """Population variance; exactly 0 for equal values, where merged partial means
+    would leave rounding noise."""
+    return F.when(F.max(x) == F.min(x), F.lit(0.0)).otherwise(F.var_pop(x))
+
+
 def moments(value: Column) -> dict[str, Column]:
     """Population moments; skewness and excess kurtosis are 0 for variance <= 1e-30."""
     x = value.cast("double")
-    variance = F.coalesce(F.var_pop(x), F.lit(0.0))
+    variance = F.coalesce(_variance(x), F.lit(0.0))
     flat = variance <= TINY
     return {
         "mean": F.coalesce(F.avg(x), F.lit(0.0)),
@@ -46,16 +52,16 @@ def correlation(x: Column, y: Column) -> Column:
     """Pearson's, in [-1, 1]; 0 where the denominator is 1e-30 or less."""
     x, y = _both(x, y)
     n = F.count(x).cast("double")
-    denominator = F.sqrt(F.greatest(F.lit(0.0), F.var_pop(x) * n * F.var_pop(y) * n))
+    denominator = F.sqrt(F.greatest(F.lit(0.0), _variance(x) * n * _variance(y) * n))
     value = F.covar_pop(x, y) * n / F.when(denominator > TINY, denominator)
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0))))
 
 
 def linear_regression(x: Column, y: Column) -> dict[str, Column]:
     """Least squares of y on x: slope, intercept and R squared in [0, 1]; all 0 for
     fewer than two pairs."""
     x, y = _both(x, y)
-    vx, vy, c = F.var_pop(x), F.var_pop(y), F.covar_pop(x, y)
+    vx, vy, c = _variance(x), _variance(y), F.covar_pop(x, y)
     few = F.count(x) < 2
     slope = F.when(vx > TINY, c / F.when(vx > TINY, vx)).otherwise(F.lit(0.0))
     total = vy * F.count(x)

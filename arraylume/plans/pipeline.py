@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,11 @@ class ArrayPipeline:
         float array; its exceptions fail the plan."""
         if self.kind != "float":
             raise BackendNotSupportedError("delegate", f"{self.kind} arrays", "float arrays")
-        return self._with(F.pandas_udf(f, "float")("value"))
+
+        def apply(values: pd.Series) -> pd.Series:
+            return f(values)
+
+        return self._with(F.pandas_udf(apply, "float")("value"))
 
     def explicit(self, f: Callable, backend: str) -> ArrayPipeline:
         """Map on a backend of one's choice. Spark's executors stand for all CPU
