@@ -13,7 +13,7 @@ from arraylume.plans.pipeline import ArrayPipeline
 
 def from_values(spark: SparkSession, values: Sequence, kind: str = "float") -> ArrayPipeline:
     """A small literal array."""
-    rows = [(0, i, v) for i, v in enumerate(values)]
+    rows = [(0, i, int(v) if kind == "int" else float(v)) for i, v in enumerate(values)]
     return ArrayPipeline(spark.createDataFrame(rows, f"series_id int, idx long, value {kind}"), kind)
 
 
