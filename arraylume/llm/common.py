@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from pathlib import Path
 
@@ -40,9 +41,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared directory."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint in the shared directory.
+
+    Shuffle files that nothing refers to any more are then given back; without the
+    collection they would stay until the driver happens to run short of memory."""
+    spark = prepare(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+#: Bits of a membership filter: 16 a value, but never more than this (16 MB to
+#: broadcast). With more values than that the filter lets more rows pass, and the
+#: exact join that follows it does the rest.
+FILTER_BITS = 1 << 27
+_PAGE = 1 << 15
+
+
+def slot(column, bits: int, hashed: bool = False):
+    """Place of a long column's value in a filter; of a hash, its low bits."""
+    return F.pmod(column if hashed else F.xxhash64(column), F.lit(bits)).cast("long")
+
+
+def membership(df: DataFrame, column: str, hashed: bool = False):
+    """(bits, broadcast bit set) by ``slot`` of the values of a long column."""
+    bits, total = _PAGE, df.count()
+    while bits < min(16 * total, FILTER_BITS):
+        bits *= 2
+    at = slot(F.col(column), bits, hashed) + 1
+    pages = df.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")).collect()
+    whole = np.zeros(bits // 8, np.uint8)
+    for page, bitmap in pages:
+        whole[(page - 1) * _PAGE // 8 : page * _PAGE // 8] = np.frombuffer(bitmap, np.uint8)
+    return bits, prepare(df.sparkSession).sparkContext.broadcast(whole)
+
+
+def members(whole: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold the values in these slots."""
+    return (whole[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -74,3 +111,18 @@ def words_of(text) -> F.Column:
 def let(value, body):
     """``body(v)`` with v evaluated once a row, wherever the optimiser puts it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sift(docs: DataFrame, key, bits: int, whole, maybe: bool = True) -> DataFrame:
+    """The rows whose key the filter may hold, or with ``maybe`` false the others
+    (those of null key among them). Nothing is shuffled."""
+    schema = docs.schema
+
+    def run(batches):
+        for batch in batches:
+            slots = batch.column(batch.num_columns - 1)
+            hit = members(whole.value, slots.fill_null(0).to_numpy(zero_copy_only=False)) & slots.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=batch.schema.remove(batch.num_columns - 1)).filter(pa.array(hit == maybe))
+
+    at = F.when(key.isNotNull(), slot(key.cast("long"), bits))
+    return docs.select(*[docs[c] for c in docs.columns], at.alias("_slot")).mapInArrow(run, schema)

@@ -117,8 +117,10 @@ def _contents(docs: DataFrame, key: str, window: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, h long, n long, anchors array<long>")
 
 
-def _windows(suspects: DataFrame, window: int) -> DataFrame:
-    """Windows around shared anchors of (id, text, shared): hash, check and start."""
+def _windows(suspects: DataFrame, window: int, chosen=None) -> DataFrame:
+    """Windows around shared anchors of (id, text, shared): hash, check and start;
+    with a filter of hashes, those that it lets pass."""
+    bits, allowed = chosen or (0, None)
 
     def run(batches):
         for batch in batches:
@@ -131,6 +133,8 @@ def _windows(suspects: DataFrame, window: int) -> DataFrame:
                 np.add.at(edges, np.maximum(at + width - window, 0), 1)
                 np.add.at(edges, np.minimum(at, len(h) - window) + 1, -1)
                 start = np.flatnonzero(np.cumsum(edges)[: len(h) - window + 1] > 0)
+                if len(start) and allowed is not None:
+                    start = start[common.members(allowed.value, (rolling(h, window)[start] & _U(bits - 1)).astype(np.int64))]
                 if len(start):
                     out.append((np.full(len(start), doc), rolling(h, window)[start].view(np.int64), (rolling(h, window, 1)[start] >> _U(33)).astype(np.int32), start.astype(np.int32)))
             if out:
@@ -171,14 +175,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFra
 
     keyed = contents.where("size(anchors) > 0").select(F.explode("anchors").alias("anchor"), "h").repartition(parts, "anchor")
     twice = keyed.groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("anchor")
-    shared = keyed.join(twice.hint("merge"), "anchor").groupBy("h").agg(F.collect_set("anchor").alias("shared"))
+    shared = common.stage(keyed.join(twice.hint("merge"), "anchor").groupBy("h").agg(F.collect_set("anchor").alias("shared")))
+    del keyed, twice
     chosen = reps.join(shared, "h").select(F.col("rep").alias("id"), "shared")
-    suspects = common.stage(docs.select(F.col(key).cast("long").alias("id"), "text").join(chosen, "id"))
-
-    windows = common.stage(_windows(suspects, window))
-    least = windows.groupBy("w", "c").agg(F.min("id").alias("owner"), F.max("id").alias("top")).where("owner < top").select("w", "c", "owner")
-    starts = windows.join(least, ["w", "c"]).where("owner < id").groupBy("id").agg(F.collect_set("start").alias("starts"))
-    cut = _rest(suspects.join(starts, "id"), window)
+    chosen = common.stage(chosen)
+    texts = docs.select(F.col(key).cast("long").alias("id"), "text")
+    suspects = common.stage(common.sift(texts, F.col("id"), *common.membership(chosen, "id")).join(chosen, "id"))
+
+    least = common.stage(_windows(suspects, window).groupBy("w", "c").agg(F.min("id").alias("owner"), F.max("id").alias("top")).where("owner < top").select("w", "c", "owner"))
+    # The filter's slots are low bits of w, which is a hash itself.
+    again = _windows(suspects, window, common.membership(least, "w", hashed=True))
+    starts = again.join(least, ["w", "c"]).where("owner < id").groupBy("id").agg(F.collect_set("start").alias("starts"))
+    cut = common.stage(_rest(suspects.join(starts, "id"), window))
 
     named = contents.select("id", "digest", "n").join(reps.select("digest", "rep"), "digest", "left").join(cut, "id", "left")
     copy = F.col("rep") < F.col("id")

@@ -1,0 +1,77 @@
+"""The registered queries on the smallest tables: SQL where there is some, and the
+pipeline's stages each against a brute-force version on its own input."""
+
+import os
+import re
+import sys
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+import helpers as h
+
+import corpus_pipeline
+from arraylume.llm import bpe, common, quality_classifier, registry
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_query(name, spark):
+    got = registry.QUERIES[name](spark, SF).toPandas()
+    assert len(got)
+    if name not in registry.ORACLE:
+        return
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    want = con.sql(registry.ORACLE[name]).df()[list(got.columns)]
+    key = got.columns[0]
+    got, want = (d.sort_values(key).reset_index(drop=True) for d in (got, want))
+    assert len(got) == len(want)
+    for c in got:
+        assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
+
+
+def test_pipeline_stages(spark, tmp_path):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "packing"]
+    docs = common.read(spark, SF, "documents")
+    schema = docs.schema
+    tables = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        tables.append((name, docs))
+        assert name == "packing" or docs.schema == schema
+    start = {r["doc_id"]: r["text"] for r in common.read(spark, SF, "documents").collect()}
+    kept = [{r["doc_id"]: r["text"] for r in d.collect()} for _, d in tables[:4]]
+
+    model = quality_classifier.train(common.read(spark, SF, "documents"), common.read(spark, SF, "labels"))
+    good = {i for i, t in start.items() if model.score(np.array([quality_classifier.statistics(t.encode())]))[0] >= 0.5}
+    assert set(kept[0]) == good and 0 < len(good) < len(start)
+
+    ids = sorted(kept[0])
+    want = {i for i, (_, c) in zip(ids, h.jaccard_components(ids, [kept[0][i] for i in ids], 5, 80)) if i == c}
+    assert set(kept[1]) == want < set(ids)
+
+    items = [(r["item_id"], r["text"]) for r in common.read(spark, SF, "benchmark").collect()]
+    ids = sorted(kept[1])
+    verdicts = dict(zip(ids, h.decontaminated([kept[1][i] for i in ids], items)))
+    assert set(kept[2]) == {i for i, v in verdicts.items() if not v[4]}
+    assert all((kept[2][i] == kept[1][i]) == (verdicts[i][1] == 0) for i in kept[2])
+
+    assert set(kept[3]) == set(kept[2])
+    assert not any(re.search(r"(?i)token = \"[0-9a-f]{40}|AKIA[A-Z0-9]{16}", t) for t in kept[3].values())
+
+    t = bpe.tokenizer(bpe.default_path())
+    total = sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in kept[3].values())
+    assert sum(r["length"] for r in docs.collect()) == total
+
+
+def test_run_equals_the_stages(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() and set(out.columns) >= {"doc_id", "sequence_id", "offset"} and corpus_pipeline.ORACLE_SQL is None
