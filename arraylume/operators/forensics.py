@@ -8,9 +8,11 @@ says whether there are any.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,20 +145,25 @@ def analyze_frequency(light, options) -> Finding:
     return Finding(score, sure, [("Frequency", score, sure)], [low, mid, high, over, ratio, float(count), rough, periodic])
 
 
+def mosaic_scores(r, g, b) -> tuple[str, float, float]:
+    """Best mosaic pattern, its score, and how far it leads the second."""
+    means = k.cfa_parity_residuals(r, g, b)
+    scores = {}
+    for name, pattern in k.BAYER.items():
+        matched = sum(means[p, pattern[p]] for p in range(4))
+        others = (means.sum() - matched) / 2
+        scores[name] = _unit((matched - others) / max(matched + others, 1e-12) * 2 + 0.5)
+    second, best = sorted(scores.values())[-2:]
+    return max(scores, key=scores.get), best, _unit((best - second) * 4)
+
+
 def analyze_camera(r, g, b, options) -> Finding:
     channels, across = k.rgb_correlations(r, g, b)
     same, near = float(np.abs(channels).mean()), float(np.abs(across).mean())
     full = options.mode != "fast"
     cfa = cfa_sure = demosaicing = 0.0
     if full:
-        means = k.cfa_parity_residuals(r, g, b)
-        scores = []
-        for pattern in k.BAYER.values():
-            matched = sum(means[p, pattern[p]] for p in range(4))
-            others = (means.sum() - matched) / 2
-            scores.append(_unit((matched - others) / max(matched + others, 1e-12) * 2 + 0.5))
-        second, cfa = sorted(scores)[-2:]
-        cfa_sure = _unit((cfa - second) * 4)
+        _, cfa, cfa_sure = mosaic_scores(r, g, b)
         demosaicing = _unit((near - same + 0.25) / 0.5)
     support = 0.65 * cfa + 0.35 * demosaicing if full else _unit((same - 0.8) / 0.2)
     score = _unit(0.5 - 0.45 * support)
@@ -271,6 +278,27 @@ def features(images: DataFrame, options: DetectionOptions = DetectionOptions())
     return detect(images, options).select("image_id", F.posexplode("features").alias("place", "value")).select("image_id", "place", F.element_at(names, F.col("place") + 1).alias("name"), "value")
 
 
+def camera_pattern(images: DataFrame) -> DataFrame:
+    """image_id, the mosaic pattern that the colour planes agree with best (null
+    below a confidence of 0.08), its score and the confidence."""
+    from arraylume.operators.packed import map_rows
+
+    def run(w, h, r, g, b):
+        best, score, sure = mosaic_scores(*(p.astype(float).reshape(h, w) for p in (r, g, b)))
+        return best if sure >= 0.08 else None, score, sure
+
+    return map_rows(images, run, ["width", "height", "r", "g", "b"], ["image_id"], "pattern string, score double, confidence double")
+
+
+def with_model(detections: DataFrame, model: Callable[[np.ndarray], np.ndarray], into: str = "model_score") -> DataFrame:
+    """Adds what a model of one's own gives for the matrix of features."""
+
+    def run(features: pd.Series) -> pd.Series:
+        return pd.Series(model(np.stack(features.to_numpy()))).astype(float)
+
+    return detections.withColumn(into, F.pandas_udf(run, "double")("features"))
+
+
 def explicit_marker(*columns: Column) -> Column:
     """Whether the metadata text names a generator; built-in functions only."""
     text = F.lower(F.concat_ws(" ", *columns))

@@ -247,6 +247,18 @@ def parity_means(df):
     return plane_measure(df, lambda p: tuple(float(s.mean()) if s.size else 0.0 for s in k.parity_samples(p)), "p0 double, p1 double, p2 double, p3 double")
 
 
+def parity_samples(df):
+    """The pixels at each parity 2 * (y & 1) + (x & 1), row by row."""
+    return plane_measure(df, lambda p: tuple(k.parity_samples(p)), "p0 array<double>, p1 array<double>, p2 array<double>, p3 array<double>")
+
+
+def row(df, y: int, plane: str = "value"):
+    """Row y of each image as an array; built-in functions only."""
+    inside = (F.lit(y) >= 0) & (F.lit(y) < F.col("height"))
+    part = F.slice(plane, F.lit(y) * F.col("width") + 1, F.col("width"))
+    return df.select("image_id", F.when(inside, part).otherwise(F.raise_error(F.lit("the row leaves the image"))).alias("row"))
+
+
 def rgb_correlations(df):
     return rgb_map(df, lambda r, g, b: [np.array(x) for x in k.rgb_correlations(r, g, b)], "channels array<double>, neighbours array<double>")
 

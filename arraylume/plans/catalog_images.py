@@ -194,6 +194,16 @@ def image_parity_means(spark, sf):
     return ops.parity_means(_grey(spark, sf)).select("image_id", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in range(4)])
 
 
+@add("image_parity_samples", f"WITH {_PX} SELECT image_id, ((y // 2) * 4 + x // 2)::INTEGER AS i, round(v, 6) AS p1 FROM px WHERE y % 2 = 0 AND x % 2 = 1")
+def image_parity_samples(spark, sf):
+    return ops.parity_samples(_grey(spark, sf)).select("image_id", F.posexplode("p1").alias("i", "v")).select("image_id", "i", F.round("v", 6).alias("p1"))
+
+
+@add("image_row", f"WITH {_PX} SELECT image_id, x, round(v, 6) AS value FROM px WHERE y = 3")
+def image_row(spark, sf):
+    return ops.row(_grey(spark, sf), 3).select("image_id", F.posexplode("row").alias("x", "v")).select("image_id", "x", F.round("v", 6).alias("value"))
+
+
 @add("image_rgb_correlations", f"""WITH {_PX}, {_RGB}
 SELECT p.image_id, round(corr(p.r, p.b), 6) AS rb, round(corr(p.r, r.g), 6) AS r_right, round(corr(p.r, d.g), 6) AS r_down, round(corr(p.b, r.g), 6) AS b_right, round(corr(p.b, d.g), 6) AS b_down
 FROM rgb p LEFT JOIN rgb r ON r.image_id = p.image_id AND r.x = p.x + 1 AND r.y = p.y LEFT JOIN rgb d ON d.image_id = p.image_id AND d.x = p.x AND d.y = p.y + 1 GROUP BY p.image_id""")
@@ -280,6 +290,11 @@ def forensic_spatial(spark, sf):
     return forensics.detect(_rgb(spark, sf)).select("image_id", *[F.round(f[at(f"spatial.{n}")], 6).alias(n) for n in names])
 
 
+@add("forensic_camera_pattern")
+def forensic_camera_pattern(spark, sf):
+    return forensics.camera_pattern(_rgb(spark, sf)).select("image_id", "pattern", F.round("score", 5).alias("score"), F.round("confidence", 5).alias("confidence"))
+
+
 @add("forensic_combine_scores", "SELECT user_id AS image_id, round(least(1, sum(s * c * w) / sum(c * w)), 6) AS score, round(least(1, sum(c * w) / sum(w)), 6) AS confidence FROM (SELECT user_id, (event_id % 10) / 10.0::DOUBLE AS s, (event_id % 7) / 7.0::DOUBLE AS c, (event_id % 3) / 4.0::DOUBLE AS w FROM events) WHERE c > 0 AND w > 0 GROUP BY user_id")
 def forensic_combine(spark, sf):
     part = lambda n, d: ((F.col("event_id") % n) / d).cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -115,6 +116,14 @@ class Context:
         finally:
             self.spark.removeTag(self.tag)
 
+    def submit(self, job: Callable) -> Future:
+        """Starts ``job`` (such as a pipeline's ``to_array``) on a thread of its own."""
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(self.run, job)
+        finally:
+            pool.shutdown(wait=False)
+
     def cancel(self) -> None:
         self.spark.interruptTag(self.tag)
 

@@ -169,3 +169,4 @@ def test_context(spark):
     assert kept.download() == list(range(100)) and kept.df.is_cached
     kept.unpersist()
     assert Context(spark).run(lambda: df.count()) == 100
+    assert Context(spark).submit(from_values(spark, [1, 2]).to_array).result(60) == [1, 2]

@@ -154,6 +154,23 @@ def test_forensics(spark):
     assert case["minimum"] <= case["original"] <= case["maximum"] and case["stability"] == pytest.approx(1 - case["maximum"] + case["minimum"])
 
 
+def test_camera_pattern_and_model(spark):
+    rng = np.random.default_rng(3)
+    planes = [rng.random((32, 32)) for _ in range(3)]
+    df = sheet(spark, k.demosaic(k.to_bayer(*planes, "gbrg"), "gbrg"))
+    row = forensics.camera_pattern(df).first()
+    assert row["pattern"] in (None, *k.BAYER) and 0 <= row["confidence"] <= 1
+    scored = forensics.with_model(forensics.detect(df), lambda x: x.sum(axis=1)).first()
+    assert scored["model_score"] == pytest.approx(sum(scored["features"]))
+
+
+def test_rows_of_images(spark):
+    df = sheet(spark, [np.arange(6.0).reshape(2, 3)] * 3)
+    assert ops.row(df, 1, "r").first()["row"] == [3, 4, 5]
+    with pytest.raises(Exception, match="leaves the image"):
+        ops.row(df, 2, "r").collect()
+
+
 def test_noise_model_and_scores(spark):
     assert forensics.combine([(1, 0, 0.5), (0.5, 0.5, 0.2)]) == (0.5, 0.5)
     assert forensics.combine([]) == (0, 0)
