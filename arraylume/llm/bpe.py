@@ -8,6 +8,7 @@ points go to the library whole, so that results never depend on the version.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -16,7 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LIMIT = 0x530  # the pattern below knows the code points before this one and U+2000-U+206F
 #: Distinct pre-tokens that a worker keeps; longer pre-tokens are never kept.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 48
 
 
@@ -39,6 +40,7 @@ UNKNOWN = re.compile(r"[^\x00-\u052f\u2000-\u206f]")
 
 #: Tokenizers by path: loaded once per worker process.
 _LOADED: dict = {}
+_MODELS: dict = {}
 
 
 def tokenizer(path: str):
@@ -49,21 +51,49 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
+def checked(path: str | None = None) -> str:
+    """The path, or an error if the file is no plain byte-level BPE."""
+    path = path or default_path()
+    form = json.loads(tokenizer(path).to_str())
+    wanted = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if form["normalizer"] or form["model"]["type"] != "BPE" or not wanted.items() <= (form["pre_tokenizer"] or {}).items():
+        raise ValueError(f"{path} is no plain byte-level BPE")
+    return path
+
+
+def _byte_letters() -> dict[int, str]:
+    """Bytes as the letters that byte-level vocabularies write them with: printable
+    Latin-1 characters stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTER_OF_BYTE = _byte_letters()
+
+
 class Cache(dict):
-    """Pre-token -> what ``make`` gives for its ids. Misses are encoded; the worker
-    keeps a bounded number of them and starts anew when it is full."""
+    """Pre-token -> what ``make`` gives for its ids. Misses are merged by the
+    library's model; the worker keeps a bounded number of them, in two generations,
+    so that those in use stay."""
 
     def __init__(self, path: str, make, frequent=None) -> None:
         super().__init__(frequent or {})
-        self.path, self.make, self.own, self.first = path, make, 0, dict(frequent or {})
+        self.path, self.make, self.first = path, make, dict(frequent or {})
+        self.own, self.before = 0, {}
 
     def encode(self, text: str):
+        """Of a whole text."""
         return self.make(tokenizer(self.path).encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, pretoken: str):
-        value = self.encode(pretoken)
+        value = self.before.get(pretoken)
+        if value is None:
+            model = _MODELS.get(self.path) or _MODELS.setdefault(self.path, tokenizer(self.path).model)
+            value = self.make([t.id for t in model.tokenize(pretoken.encode().decode("latin-1").translate(_LETTER_OF_BYTE))])
         if len(pretoken) <= CACHE_CHARS:
-            if self.own >= CACHE_ENTRIES:
+            if self.own >= CACHE_ENTRIES // 2:
+                self.before = dict(self)
                 self.clear()
                 self.update(self.first)
                 self.own = 0

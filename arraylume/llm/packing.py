@@ -98,7 +98,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id"
     """One row per piece: key, start and length in the document's ids, CRC-32 of
     the piece's ids, the document's ids, sequence and offset there."""
     common.prepare(docs.sparkSession)
-    path = path or bpe.default_path()
+    path = bpe.checked(path)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):

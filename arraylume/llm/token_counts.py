@@ -49,7 +49,7 @@ def count_text(text: str, lengths: bpe.Cache, special) -> int:
 def count_tokens(docs: DataFrame, path: str | None = None, key: str = "doc_id", over: int = OVER) -> DataFrame:
     """Key, UTF-8 bytes, tokens and whether there are more than ``over`` tokens."""
     common.prepare(docs.sparkSession)
-    path = path or bpe.default_path()
+    path = bpe.checked(path)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
     kind = docs.schema[key].dataType.simpleString()
 

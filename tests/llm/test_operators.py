@@ -116,6 +116,13 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(h.table(spark, [])).count() == 0
 
 
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.checked(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 10)
     cache = bpe.Cache(bpe.default_path(), len, {"the": 1})
@@ -284,6 +291,18 @@ def test_blocks_lose_no_pair():
             if 100 * both >= percent * (len(a) + len(b) - both):
                 assert set(bands.keys(a).tolist()) & set(bands.keys(b).tolist())
                 assert np.minimum(ngram_join.point(a), ngram_join.point(b)).sum() >= both
+                assert ngram_join.fine_bound(ngram_join.fine_point(a), ngram_join.fine_point(b)) >= both
+
+
+def test_fine_bound_of_small_and_large_sets():
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
+    for n, m in ((0, 5), (300, 320), (2000, 2100), (2100, 2200), (3000, 3000)):
+        a, b = np.sort(rng.choice(pool, n, False)), np.sort(rng.choice(pool, m, False))
+        width = min(ngram_join.fine_point(a)[0], ngram_join.fine_point(b)[0])
+        x, y = (Counter((s >> np.uint64(64 - 8 * width)).tolist()) for s in (a, b))
+        bound = ngram_join.fine_bound(ngram_join.fine_point(a), ngram_join.fine_point(b))
+        assert bound == sum((x & y).values()) >= len(np.intersect1d(a, b))
 
 
 def test_tree_finds_what_a_scan_finds():
