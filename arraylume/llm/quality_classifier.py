@@ -4,8 +4,8 @@ Statistics of the whole text are transformed (logs and square roots of shares),
 the class means and shrinkage covariances are fitted on a bounded sample of
 labelled rows, and a document's score is the logistic of the difference of the
 classes' Mahalanobis log-densities, from Cholesky factors that are computed once.
-Labels, language, source and id are never inputs of a score. Class priors are
-equal unless given.
+Labels, language, source and id are never inputs of a score. Class priors are the
+classes' shares of the fitted rows unless given.
 
 Edge cases: a null or empty text has all counts zero and gets a score; documents
 without a label are scored too; rows with a null label or id are not used to fit;
@@ -84,12 +84,13 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(parts[0] - parts[1], -700, 700)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = SHRINKAGE, priors=(0.5, 0.5)) -> Discriminant:
+def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = SHRINKAGE, priors=None) -> Discriminant:
     """Covariances are shrunk towards the pooled one and its diagonal."""
     groups = [x[y == k] for k in (0, 1)]
     if min(map(len, groups)) == 0:
         raise ValueError("each class needs labelled rows")
     means = np.array([g.mean(axis=0) for g in groups])
+    priors = priors or tuple(len(g) / len(x) for g in groups)
     centred = [g - m for g, m in zip(groups, means)]
     pooled = sum(c.T @ c for c in centred) / max(len(x), 1)
     floor = np.diag(np.maximum(np.diag(pooled), 1e-6))
@@ -126,8 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", max_rows: int
     total = usable.count()
     if total > max_rows:
         usable = usable.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * 0.95 * max_rows / total))
-    # The labelled texts meet their labels before any statistics are computed.
-    rows = docs.select(key, "text").join(usable, key)
+    # A filter leaves the texts that are to be fitted; only those are shuffled.
+    usable = usable.withColumn(key, F.col(key).cast("long"))
+    rows = common.sift(docs.select(F.col(key).cast("long").alias(key), "text"), F.col(key), *common.membership(usable, key)).join(usable, key)
     schema = rows.schema
 
     def run(batches):
