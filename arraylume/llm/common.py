@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Upper bound of one Arrow batch sent to a Python worker.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -23,6 +23,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    # Workers give freed memory back instead of keeping it for later.
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "1000000")):
+        env.setdefault(name, value)
     for key, value in (("maxBytesPerBatch", BATCH_BYTES),):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", value)

@@ -9,10 +9,11 @@ An R-tree over all documents prunes by size only: at these thresholds the bound'
 slack exceeds the spread of the counts in any few dimensions, so every inner node
 would be visited. The points are therefore dealt to trees by an exact rule over
 the same kind of groups. Sets within the threshold differ in at most D shingles,
-D fixed by a band of sizes; cut into D + 1 groups, they agree on one whole group.
-Documents of a band (and of the one below) with an equal group share a block, and
-blocks lose no pair. A first pass verifies each member against the least one of
-its block, which joins large groups of near copies in linear work; a second pass
+D fixed by a band of sizes; cut into more than D groups, they agree on whole groups
+(see ``Bands.groups``). Documents of a band (and of the one below) with an equal
+group share a block, and blocks lose no pair. A first pass verifies each set against the one that is the
+least of most of its blocks, which joins large groups of near copies in linear work
+(it is a short cut, nothing depends on what it misses); a second pass
 builds an R-tree in each block that still holds several components and searches it
 for pairs of different components. Blocks beyond CHUNK members are cut into chunks
 and every pair of chunks is searched, so that no task gets an unbounded block.
@@ -38,10 +39,10 @@ from arraylume.llm import common
 from arraylume.llm.components import components
 
 WIDTH, PERCENT = 3, 90
-GROUPS = 64
+GROUPS = 256
 CHUNK = 2_000
 LEAF, FANOUT = 24, 8
-WORDS_KEPT = 500_000
+WORDS_KEPT = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -95,25 +96,35 @@ class Bands:
         self.lows = np.array(lows)
         self._edges: dict[int, np.ndarray] = {}
 
-    def edges(self, band: int) -> np.ndarray:
-        """Edges of D + 1 groups; two sets of at most ``high`` shingles each that
-        are within the threshold differ in at most D."""
+    def groups(self, band: int) -> tuple[np.ndarray, int]:
+        """Edges of the band's groups and how many of them a set leaves out.
+
+        Two sets of at most ``high`` shingles each that are within the threshold
+        differ in at most D, so of D + 1 + spare groups they agree on spare + 1 or
+        more. Each set may leave out its ``spare`` least groups in an order that
+        depends on a group's content only: the greatest group on which both agree
+        is left out by neither."""
         if band not in self._edges:
             high = int(self.lows[band + 1]) - 1
+            differ = 2 * high * (100 - self.percent) // (100 + self.percent)
+            spare = -(-differ // 3)
             if len(self._edges) > 64:
                 self._edges.clear()
-            self._edges[band] = _edges(2 * high * (100 - self.percent) // (100 + self.percent) + 1)
+            self._edges[band] = (_edges(differ + 1 + spare), spare)
         return self._edges[band]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Block keys of a set: band, group and the group's content."""
+        """Block keys of a set, of band, group and the group's content. Groups of few
+        shingles, which unlike sets may share, are the ones left out."""
         own = int(np.searchsorted(self.lows, len(s), "right")) - 1
         sums = np.concatenate((np.zeros(1, _U), np.cumsum(common.mix64(s + _ODD[2]), dtype=_U)))
         out = []
         for band in (own, own + 1):
-            at = np.concatenate(([0], np.searchsorted(s, self.edges(band)), [len(s)]))
+            edges, spare = self.groups(band)
+            at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
             content = sums[at[1:]] - sums[at[:-1]]
-            out.append(common.mix64(content + np.arange(len(content), dtype=_U) * _ODD[0] + _U((band + 1) * int(_ODD[1]) & (1 << 64) - 1)))
+            keys = common.mix64(content + np.arange(len(content), dtype=_U) * _ODD[0] + _U((band + 1) * int(_ODD[1]) & (1 << 64) - 1))
+            out.append(keys[np.lexsort((keys, np.diff(at)))[spare:]] if spare else keys)
         return np.concatenate(out)
 
 
@@ -122,7 +133,38 @@ _POINT_EDGES = _edges(GROUPS)
 
 def point(s: np.ndarray) -> np.ndarray:
     """Counts by group."""
-    return np.diff(np.concatenate(([0], np.searchsorted(s, _POINT_EDGES), [len(s)]))).astype(np.int32)
+    return np.diff(np.concatenate(([0], np.searchsorted(s, _POINT_EDGES), [len(s)]))).astype(np.uint32)
+
+
+#: Sets of up to this many shingles have 2**16 fine groups, larger ones 2**32.
+FINE_SMALL = 2_048
+
+
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts by fine group, as the sorted groups of the shingles; the first byte
+    tells how many bytes a group takes."""
+    width = 2 if len(s) <= FINE_SMALL else 4
+    return bytes([width]) + (s >> _U(64 - 8 * width)).astype(np.uint16 if width == 2 else np.uint32).tobytes()
+
+
+def _counted(raw: bytes, width: int) -> np.ndarray:
+    """Groups with the number of the shingle within its group, so that equal counts
+    overlap by the smaller one."""
+    own = raw[0]
+    groups = np.frombuffer(raw, np.uint16 if own == 2 else np.uint32, offset=1).astype(_U) >> _U(8 * (own - width))
+    return groups << _U(16) | (np.arange(len(groups)) - np.searchsorted(groups, groups)).astype(_U)
+
+
+def fine_bound(x: bytes, y: bytes) -> int:
+    """Sum over the fine groups of the smaller counts."""
+    width = min(x[0], y[0])
+    both = np.concatenate((_counted(x, width), _counted(y, width)))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _size(raw: bytes) -> int:
+    return (len(raw) - 1) // raw[0]
 
 
 def needed(a, b, percent: int):
@@ -177,63 +219,106 @@ class CountTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _sets(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
-    """Key, id of the set (16 bytes and its first 8 as ``h``), size and block keys.
-    Within a partition only the first of equal sets carries the keys."""
+def _identity(s: np.ndarray) -> tuple[bytes, int]:
+    """A set's id (16 bytes) and its first 6 as a number, which finds candidates."""
+    digest = xxhash.xxh3_128_digest(s.tobytes())
+    return digest, int.from_bytes(digest[:6], "little")
+
+
+def _sets(docs: DataFrame, key: str, width: int) -> DataFrame:
+    """Key, id of the set, ``h`` (null for an empty set) and size."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(d, width) for d in common.utf8(batch.column(1))]
+            ids = [_identity(s) if len(s) else (None, None) for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in ids], pa.binary()), pa.array([x[1] for x in ids], pa.int64()), pa.array(list(map(len, found)), pa.int64())], names=["id", "sid", "h", "n"])
+        _HASHES.clear()
+
+    return docs.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, "id long, sid binary, h long, n long")
+
+
+def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, h) rows of the sets' block keys, of equal sets once a partition."""
 
     def run(batches):
         bands, seen = Bands(percent), set()
         for batch in batches:
-            sid, h, n, keys = [], [], [], []
-            for data in common.utf8(batch.column(1)):
+            keys, h = [], []
+            for data in common.utf8(batch.column(0)):
                 s = shingles(data, width)
-                n.append(len(s))
-                if not len(s):
-                    sid.append(None), h.append(None), keys.append([])
+                if not len(s) or (own := _identity(s)) in seen:
                     continue
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                sid.append(digest)
-                h.append(int.from_bytes(digest[:8], "little", signed=True))
-                keys.append(np.zeros(0, np.int64) if digest in seen else bands.keys(s).view(np.int64))
-                seen.add(digest)
-            sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.binary()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["id", "sid", "h", "n", "keys"])
+                seen.add(own)
+                keys.append((bands.keys(s) >> _U(12)).view(np.int64))  # fewer bytes to shuffle
+                h.append(np.full(len(keys[-1]), own[1]))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(h))], names=["key", "h"])
+        _HASHES.clear()  # idle workers shall be small
+
+    return docs.select("text").mapInArrow(run, "key long, h long")
+
+
+def _reread(docs: DataFrame, key: str, names: DataFrame, width: int, make, outputs: str) -> DataFrame:
+    """(node, what ``make`` gives for the node's set) for the documents in ``names``.
+    Texts aren't shuffled: a filter picks the documents where they are read."""
+    bits, chosen = common.membership(names, "node")
+    columns = ["node", *(x.split()[0] for x in outputs.split(", "))]
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(common.members(chosen.value, batch.column(2).to_numpy(zero_copy_only=False))))
+            found = [make(shingles(d, width)) for d in common.utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.binary()) for i in range(len(columns) - 1))], names=columns)
+        _HASHES.clear()
 
-    return docs.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, "id long, sid binary, h long, n long, keys array<long>")
+    node = F.col(key).cast("long")
+    read = docs.where(node.isNotNull()).select(node.alias("node"), "text", common.slot(node, bits).alias("slot"))
+    return read.mapInArrow(run, f"node long, {outputs}").join(names, "node").dropDuplicates(["node"])
 
 
-def _arrays(texts: DataFrame, width: int) -> DataFrame:
-    """Node, h, hashed set and point of (node, h, text)."""
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The node pairs (a, b) whose overlap bound reaches the need; only points move."""
+    left, right = points.select(F.col("node").alias("a"), F.col("point").alias("pa")), points.select(F.col("node").alias("b"), F.col("point").alias("pb"))
 
     def run(batches):
         for batch in batches:
-            found = [shingles(d, width) for d in common.utf8(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([point(x).tobytes() for x in found], pa.binary())], names=["node", "h", "items", "point"])
+            if not batch.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS) for i in (2, 3))
+            ok = np.minimum(p, q).sum(axis=1, dtype=np.int64) >= needed(p.sum(axis=1, dtype=np.int64), q.sum(axis=1, dtype=np.int64), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return texts.select("node", "h", "text").mapInArrow(run, "node long, h long, items binary, point binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among node pairs: the bound first, then the sets."""
-    left = arrays.select(F.col("node").alias("a"), F.col("items").alias("ia"), F.col("point").alias("pa"))
-    right = arrays.select(F.col("node").alias("b"), F.col("items").alias("ib"), F.col("point").alias("pb"))
+def _test(pairs: DataFrame, nodes: DataFrame, column: str, test) -> DataFrame:
+    """The node pairs (a, b) whose values of a column pass ``test``."""
+    left, right = (nodes.select(F.col("node").alias(n), F.col(column).alias(f"x{n}")) for n in "ab")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y, p, q in zip(*(batch.column(i).to_pylist() for i in (2, 4, 3, 5))):
-                p, q = np.frombuffer(p, np.int32), np.frombuffer(q, np.int32)
-                need = needed(len(x) // 8, len(y) // 8, percent)
-                ok = int(np.minimum(p, q).sum()) >= need
-                if ok:
-                    both = np.concatenate((np.frombuffer(x, _U), np.frombuffer(y, _U)))
-                    both.sort()
-                    ok = int((both[1:] == both[:-1]).sum()) >= need
-                keep.append(ok)
+            keep = [test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "pa", "ib", "pb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+
+
+def _verify(pairs: DataFrame, points: DataFrame, percent: int, read_items) -> DataFrame:
+    """Links (a, b) among node pairs: the bound by fine groups, then the sets, which
+    only the nodes of surviving pairs get (``read_items``)."""
+
+    def near(x, y):
+        return fine_bound(x, y) >= needed(_size(x), _size(y), percent)
+
+    def linked(x, y):
+        both = np.concatenate((np.frombuffer(x, _U), np.frombuffer(y, _U)))
+        both.sort()
+        return int((both[1:] == both[:-1]).sum()) >= needed(len(x) // 8, len(y) // 8, percent)
+
+    left = common.stage(_test(pairs, points, "fine", near))
+    nodes = common.stage(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
+    return common.stage(_test(left, common.stage(read_items(nodes)), "items", linked))
 
 
 def _search_blocks(blocks: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +345,7 @@ def _search_blocks(blocks: DataFrame, percent: int) -> DataFrame:
             if len(rows) < 2:
                 return []
             side, node, component, raw = zip(*rows)
-            return list(pairs(current[1] == current[2], np.array(side), np.array(node), np.array(component), np.stack([np.frombuffer(x, np.int32) for x in raw])))
+            return list(pairs(current[1] == current[2], np.array(side), np.array(node), np.array(component), np.stack([np.frombuffer(x, np.uint32) for x in raw]).astype(np.int32)))
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
@@ -285,28 +370,40 @@ def join(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
     """Key, ``n_shingles`` and ``component_id`` (least key reachable by links)."""
     spark = common.prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = common.stage(_sets(docs, key, width, percent))
+    sets = common.stage(_sets(docs, key, width))
     reps = common.stage(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("node"), F.first("h").alias("h")))
 
-    keyed = sets.where("size(keys) > 0").select(F.explode("keys").alias("key"), "h").repartition(parts, "key")
+    # By far the largest exchange: more and smaller tasks bound an executor's memory.
+    keyed = _keys(docs, width, percent).repartition(4 * parts, "key")
     shared = keyed.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("top")).where("pivot < top").select("key", "pivot")
     # Both sides read one exchange.
-    members = common.stage(keyed.join(shared.hint("merge"), "key").select("key", "h", "pivot").distinct())
-
-    names = reps.join(members.select("h").distinct(), "h").select("node", "h")
-    arrays = common.stage(_arrays(docs.select(F.col(key).cast("long").alias("node"), "text").join(names, "node"), width).dropDuplicates(["node"]))
-    a, b = arrays.select(F.col("node").alias("a"), "h"), arrays.select(F.col("node").alias("b"), F.col("h").alias("pivot"))
-    pairs = members.where("h <> pivot").select("h", "pivot").distinct().join(a, "h").join(b, "pivot").select("a", "b")
-    links = common.stage(_verify(pairs, arrays, percent))
+    members = keyed.join(shared.hint("merge"), "key").select("key", "h", "pivot").distinct()
+    del keyed, shared
+    members = common.stage(members)
+
+    names = common.stage(reps.join(members.select("h").distinct(), "h").select("node", "h"))
+    points = common.stage(_reread(docs, key, names, width, lambda s: (point(s).tobytes(), fine_point(s)), "point binary, fine binary"))
+    items = lambda nodes: _reread(docs, key, nodes, width, lambda s: (s.tobytes(),), "items binary")
+    a, b = names.select(F.col("node").alias("a"), "h"), names.select(F.col("node").alias("b"), F.col("h").alias("pivot"))
+    # The first pass takes the pivot of most shared blocks, one a set; what it leaves
+    # apart is the second pass's.
+    often = members.where("h <> pivot").groupBy("h", "pivot").count()
+    likely = often.groupBy("h").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+    pairs = likely.join(a, "h").join(b, "pivot").select("a", "b")
+    links = _verify(_bounded(pairs, points, percent), points, percent, items)
     found = common.stage(components(links))
 
-    placed = members.select("key", "h").distinct().join(arrays.select("node", "h"), "h").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("c"))
-    chunked = placed.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).join(arrays.select("node", "point"), "node")
+    homes = common.stage(names.join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component")))
+    placed = members.select("key", "h").join(homes, "h").select("key", "node", "component").repartition(parts, "key")
+    # Blocks of the same members are searched once.
+    bits = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *bits).where("lo < hi")
+    mixed = common.stage(mixed.groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("c")))
+    chunked = placed.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).join(points.select("node", "point"), "node")
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     blocks = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "component", "point")
     more = _search_blocks(blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j"), percent).distinct()
-    links2 = _verify(more, arrays, percent)
+    links2 = _verify(more, points, percent, items)
     final = components(links.union(links2))
 
     named = reps.join(final, "node", "left").select("sid", F.coalesce("component", "node").alias("component_id"))
@@ -316,8 +413,11 @@ def join(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
 def keep_one(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of least key of each component, all columns kept; of rows that
     repeat that key, all stay."""
-    kept = join(docs, key, width, percent).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi")
+    gone = common.stage(join(docs, key, width, percent).where(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias("gone")).distinct())
+    # Documents that the filter clears stay without a shuffle of their texts.
+    chosen = common.membership(gone, "gone")
+    side = lambda maybe: common.sift(docs, F.col(key), *chosen, maybe)
+    return side(False).union(side(True).join(gone, F.col(key).cast("long") == F.col("gone"), "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
