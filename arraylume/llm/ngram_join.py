@@ -11,9 +11,8 @@ would be visited. The points are therefore dealt to trees by an exact rule over
 the same kind of groups. Sets within the threshold differ in at most D shingles,
 D fixed by a band of sizes; cut into more than D groups, they agree on whole groups
 (see ``Bands.groups``). Documents of a band (and of the one below) with an equal
-group share a block, and blocks lose no pair. A first pass verifies each set against the one that is the
-least of most of its blocks, which joins large groups of near copies in linear work
-(it is a short cut, nothing depends on what it misses); a second pass
+group share a block, and blocks lose no pair. A first pass verifies each member against the least one of
+its block, which joins large groups of near copies in linear work; a second pass
 builds an R-tree in each block that still holds several components and searches it
 for pairs of different components. Blocks beyond CHUNK members are cut into chunks
 and every pair of chunks is searched, so that no task gets an unbounded block.
@@ -385,11 +384,7 @@ def join(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int
     points = common.stage(_reread(docs, key, names, width, lambda s: (point(s).tobytes(), fine_point(s)), "point binary, fine binary"))
     items = lambda nodes: _reread(docs, key, nodes, width, lambda s: (s.tobytes(),), "items binary")
     a, b = names.select(F.col("node").alias("a"), "h"), names.select(F.col("node").alias("b"), F.col("h").alias("pivot"))
-    # The first pass takes the pivot of most shared blocks, one a set; what it leaves
-    # apart is the second pass's.
-    often = members.where("h <> pivot").groupBy("h", "pivot").count()
-    likely = often.groupBy("h").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-    pairs = likely.join(a, "h").join(b, "pivot").select("a", "b")
+    pairs = members.where("h <> pivot").select("h", "pivot").distinct().join(a, "h").join(b, "pivot").select("a", "b")
     links = _verify(_bounded(pairs, points, percent), points, percent, items)
     found = common.stage(components(links))
 
