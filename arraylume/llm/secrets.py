@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns and a likelihood ratio of two character Markov models.
 
 Patterns find assignments, access keys and long hex runs. A further kind,
-``markov``, takes candidate tokens of key characters, at least ``MIN_TOKEN`` long
-and with a digit, and keeps those whose transitions are likelier, by a mean log-
-likelihood ratio of at least ``threshold`` nats a character, under the model of
-random strings than under the model of ordinary identifiers. Both models are
+``markov``, takes candidate tokens of key characters, at least ``MIN_TOKEN`` long,
+and keeps those whose transitions are likelier, by a mean log-likelihood ratio of
+at least ``threshold`` nats a character, under the model of random strings than
+under the model of ordinary identifiers and rules of punctuation. Both models are
 trained from labelled samples with add-half smoothing. Built-in functions only:
 positions come from the pieces between matches and the matches themselves.
 
@@ -37,6 +37,9 @@ THRESHOLD = 0.35
 
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 WIDTH = len(ALPHABET)
+#: The marks of the alphabet and how often each rule of two is in the labelled sample.
+MARKS = "+/_=-"
+RULE_COPIES = 4
 
 #: Words of ordinary identifiers, from which the default labelled sample is made.
 NOUNS = ("account address array average block buffer cache channel client color column config content context count counter cursor data date default delta device document domain "
@@ -49,7 +52,8 @@ NOUNS = ("account address array average block buffer cache channel client color
 
 def default_sample(n: int = 4000, seed: int = 17) -> list[tuple[str, int]]:
     """Labelled strings: 1 random (hex, base 32, base 62, base 64), 0 ordinary
-    identifiers (snake, camel and kebab case, paths, with and without numbers)."""
+    identifiers (snake, camel and kebab case, paths, with and without numbers) and
+    rules of one or two punctuation marks, whose transitions no identifier shows."""
     rng = random.Random(seed)
     kinds = (string.digits + "abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/")
     out = [("".join(rng.choice(kinds[i % 4]) for _ in range(rng.randint(20, 48))), 1) for i in range(n)]
@@ -59,6 +63,7 @@ def default_sample(n: int = 4000, seed: int = 17) -> list[tuple[str, int]]:
         form = i % 5
         text = "_".join(words) if form == 0 else "-".join(words) if form == 1 else "/".join(words) if form == 2 else "".join(w.capitalize() for w in words) if form == 3 else "_".join(words).upper()
         out.append((text, 0))
+    out += [((a + b) * 20, 0) for a in MARKS for b in MARKS for _ in range(RULE_COPIES)]
     return out
 
 
@@ -112,7 +117,7 @@ def find_spans(docs: DataFrame, sample: list[tuple[str, int]] | None = None, thr
         "f_assign": F.when(keyword, F.filter(_found(text, ASSIGN), lambda x: F.length(value(x["m"])) >= ASSIGN_VALUE)).otherwise(none),
         "f_access": F.when(text.contains("AKIA"), _found(text, ACCESS)).otherwise(none),
         "f_hex": F.when(text.rlike(HEX), _found(text, HEX)).otherwise(none),
-        "f_token": F.when(text.rlike(TOKEN), F.filter(_found(text, TOKEN), lambda x: x["m"].rlike("[0-9]"))).otherwise(none),
+        "f_token": F.when(text.rlike(TOKEN), _found(text, TOKEN)).otherwise(none),
     })
     span = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))
     base = F.concat(*[F.transform(f"f_{k}", span(k)) for k in KINDS[:3]])

@@ -229,6 +229,19 @@ def test_redaction(spark):
     assert rows(secrets.redact(h.table(spark, [None])), "text")[0] == (None,)
 
 
+def test_markov_keys_need_no_digit(spark):
+    rng = random.Random(8)
+    kinds = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-")
+    keys = ["".join(rng.choice(kinds[i % 4]) for _ in range(32)) for i in range(40)]
+    plain = ["-" * 20, "=" * 40, "_" * 30, "/" * 25, "+" * 25, "-=" * 15, "+----------+----------+---------", "some_ordinary_identifier_name", "path/to/the/config/file/handler", "AbstractSingletonProxyFactoryBean"]
+    texts = [f"see {x} ok" for x in keys + plain]
+    spans = rows(secrets.scan(h.table(spark, texts)), "spans")
+    out = rows(secrets.redact(h.table(spark, texts)), "text")
+    for i in range(len(texts)):
+        assert spans[i] == (("markov:4:36",) if i < 40 else ("",)), texts[i]
+        assert out[i] == (("see [secret] ok",) if i < 40 else (texts[i],)), texts[i]
+
+
 # -- sharding -----------------------------------------------------------------------
 def test_sharding(spark):
     rng = random.Random(1)
