@@ -30,10 +30,31 @@ def from_rgb24(df: DataFrame, encoding: str = "srgb", bgr: bool = False) -> Data
     return made.withColumn("encoding", F.lit(encoding))
 
 
+def _deep_greys(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of files whose grey samples may have 16 bits, by their first bytes."""
+    head = F.hex(F.substring("content", 1, 26))
+    png = F.substring(head, 1, 16).eqNullSafe("89504E470D0A1A0A") & (F.substring(head, 49, 2) == "10")
+    tiff = F.substring(head, 1, 8).isin("49492A00", "4D4D002A", "49492B00", "4D4D002B")
+    return spark.read.format("binaryFile").load(path).where(png | tiff).select(F.col("_metadata.file_path").alias("file"), F.lit(True).alias("deep"))
+
+
 def load_files(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded files (any codec of the JVM's ImageIO with three channels), id = path."""
-    rows = spark.read.format("image").option("dropInvalid", "true").load(path).where("image.nChannels = 3")
-    return from_rgb24(rows.select(F.col("image.origin").alias("image_id"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.data").alias("data")), bgr=True)
+    """Decoded files (any codec of the JVM's ImageIO), id = path. Grey is spread over
+    r, g and b, alpha is cut. Files that can't be decoded fail, and so do greys in 16-
+    bit PNG and in TIFF, of whose samples Spark's reader keeps the low byte only."""
+
+    def run(origin, w, h, channels, data, deep):
+        if channels not in (1, 3, 4):
+            raise ValueError(f"{origin} can't be decoded")
+        if channels == 1 and deep:
+            raise ValueError(f"{origin} may have grey samples of 16 bits")
+        raw = np.frombuffer(data, np.uint8).reshape(h * w, channels)
+        return tuple(raw[:, min(c, channels - 1)] / 255 for c in (2, 1, 0))
+
+    image = [F.col(f"image.{x}").alias(y) for x, y in (("origin", "image_id"), ("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))]
+    rows = spark.read.format("image").load(path).select(*image, F.col("_metadata.file_path").alias("file")).join(_deep_greys(spark, path), "file", "left").withColumn("deep", F.coalesce("deep", F.lit(False)))
+    made = map_rows(rows, run, ["image_id", "width", "height", "channels", "data", "deep"], ["image_id", "width", "height"], "r array<double>, g array<double>, b array<double>")
+    return made.withColumn("encoding", F.lit("srgb"))
 
 
 def load_bytes(df: DataFrame, image_id: str, data: str) -> DataFrame:

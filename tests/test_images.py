@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -123,6 +124,35 @@ def test_image_files(spark, tmp_path):
     assert (row["width"], row["height"], row["r"], row["b"]) == (2, 1, [1, 0], [0, 1])
 
 
+def png(kind, depth, w, h, raw):
+    """A PNG of colour type ``kind`` from its rows' bytes."""
+    chunk = lambda name, data: len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+    size = len(raw) // h
+    lines = b"".join(b"\0" + raw[i * size : (i + 1) * size] for i in range(h))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([depth, kind, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_image_files_of_all_channels(spark, tmp_path):
+    good = tmp_path / "good files"
+    good.mkdir()
+    (good / "grey.png").write_bytes(png(0, 8, 2, 1, bytes([51, 102])))
+    (good / "grey alpha.png").write_bytes(png(4, 8, 2, 1, bytes([51, 9, 102, 0])))
+    (good / "rgb.png").write_bytes(png(2, 8, 2, 1, bytes([255, 51, 0, 0, 102, 255])))
+    (good / "rgba.png").write_bytes(png(6, 8, 2, 1, bytes([255, 51, 0, 128, 0, 102, 255, 0])))
+    (good / "rgb16.png").write_bytes(png(2, 16, 1, 2, bytes([255, 255, 51, 51, 0, 0, 0, 0, 102, 102, 255, 255])))
+    got = {r["image_id"].rsplit("/", 1)[1].replace("%20", " "): r for r in images.load_files(spark, str(good)).collect()}
+    assert sorted(got) == sorted(f.name for f in good.iterdir())
+    for name, r in got.items():
+        want = ([0.2, 0.4],) * 3 if "grey" in name else ([1, 0], [0.2, 0.4], [0, 1])
+        assert (r["r"], r["g"], r["b"]) == want, name
+    for name, data in (("bad.png", b"no image"), ("deep.png", png(0, 16, 2, 1, bytes([51, 0, 102, 0])))):
+        folder = tmp_path / name[:-4]
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        with pytest.raises(Exception, match=name):
+            images.load_files(spark, str(folder)).count()
+
+
 def test_formats(spark):
     df = sheet(spark, [np.array([[0.2, 0.5]]), np.array([[0.1, 0.5]]), np.array([[0.9, 0.5]])], "srgb")
     byte = ops.convert(df, "rgb", "rgb24").first()
