@@ -1,8 +1,9 @@
 """Token counts by a two-tier look-up on the map side; no pre-token is shuffled.
 
 Tier one is a broadcast table of the lengths, in tokens, of pre-tokens that are
-frequent in a small sample of the documents (at most ``sample_docs`` texts of at
-most ``sample_chars`` characters, ``table_size`` entries). It saves work only: a
+frequent in a small sample of the documents, drawn from all of them by chance
+(``sample_docs`` expected, of which texts of at most ``sample_chars`` characters
+count; ``table_size`` entries). It saves work only: a
 pre-token that isn't in it is encoded by the library and kept in the worker's
 bounded cache (tier two). Counts always cover whole texts.
 
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 
 from arraylume.llm import bpe, common
 
-OVER = 512
+OVER, SEED = 512, 17
 SAMPLE_DOCS, SAMPLE_CHARS, TABLE_SIZE = 1_000, 8_192, 30_000
 
 
 def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, table_size: int = TABLE_SIZE) -> dict[str, int]:
     counts: Counter = Counter()
-    for (text,) in docs.select("text").where(F.length("text") <= sample_chars).take(sample_docs):
+    share = min(1.0, sample_docs / max(docs.count(), 1))
+    for (text,) in docs.select("text").sample(share, SEED).where(F.length("text") <= sample_chars).collect():
         if not bpe.UNKNOWN.search(text):
             counts.update(bpe.PRETOKEN.findall(text))
     names = [x for x, _ in counts.most_common(table_size) if len(x) <= bpe.CACHE_CHARS]

@@ -242,6 +242,12 @@ def test_markov_keys_need_no_digit(spark):
         assert out[i] == (("see [secret] ok",) if i < 40 else (texts[i],)), texts[i]
 
 
+def test_frequent_table_covers_sorted_documents(spark):
+    docs = h.table(spark, ["first alpha"] * 2000 + ["last omega"] * 1000).coalesce(1)
+    assert {" alpha", " omega"} <= set(token_counts.frequent_lengths(docs, bpe.default_path()))
+    assert token_counts.frequent_lengths(docs.limit(0), bpe.default_path()) == {}
+
+
 # -- sharding -----------------------------------------------------------------------
 def test_sharding(spark):
     rng = random.Random(1)
