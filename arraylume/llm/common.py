@@ -30,7 +30,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/checkpoints")
+        # The warehouse is a folder that driver and executors share, too.
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return spark
 
 
@@ -44,15 +45,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared directory.
+    """Cut the lineage with a reliable checkpoint in the shared directory."""
+    prepare(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Shuffle files that nothing refers to any more are then given back; without the
-    collection they would stay until the driver happens to run short of memory."""
-    spark = prepare(df.sparkSession)
-    out = df.checkpoint(eager=True)
+
+def release(spark: SparkSession) -> None:
+    """Give back the files of exchanges that nothing refers to any more. Spark does so
+    when the driver collects garbage, which may be long after a large exchange was
+    read for the last time; an operator calls this once after such an exchange."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of the documents has; Spark
+    tells no upper from lower case in names."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Bits of a membership filter: 16 a value, but never more than this (16 MB to
@@ -128,4 +140,4 @@ def sift(docs: DataFrame, key, bits: int, whole, maybe: bool = True) -> DataFram
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=batch.schema.remove(batch.num_columns - 1)).filter(pa.array(hit == maybe))
 
     at = F.when(key.isNotNull(), slot(key.cast("long"), bits))
-    return docs.select(*[docs[c] for c in docs.columns], at.alias("_slot")).mapInArrow(run, schema)
+    return docs.withColumn(unused(docs, "slot"), at).mapInArrow(run, schema)

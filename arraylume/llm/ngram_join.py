@@ -10,20 +10,31 @@ slack exceeds the spread of the counts in any few dimensions, so every inner nod
 would be visited. The points are therefore dealt to trees by an exact rule over
 the same kind of groups. Sets within the threshold differ in at most D shingles,
 D fixed by a band of sizes; cut into more than D groups, they agree on whole groups
-(see ``Bands.groups``). Documents of a band (and of the one below) with an equal
-group share a block, and blocks lose no pair. A first pass verifies each member against the least one of
-its block, which joins large groups of near copies in linear work; a second pass
-builds an R-tree in each block that still holds several components and searches it
-for pairs of different components. Blocks beyond CHUNK members are cut into chunks
-and every pair of chunks is searched, so that no task gets an unbounded block.
+(see ``Bands.groups``). Sets of a band (and of the one below) with an equal group
+share a block, and blocks lose no pair. Blocks of the same members are one.
+
+Every block gets an R-tree of its points. Each member searches it for members of
+other components; a hit that the finer bound of the sketches confirms is emitted
+and taken for a link at once, so that a block emits fewer pairs than it has members
+(a spanning forest), however many of its pairs are within the threshold. The pairs
+are verified on the sets. Where one is refused, its blocks are searched again, with
+the components known by then and without the refused pairs; after ``FORESTS``
+such rounds the remaining blocks emit every pair that the bounds allow.
+
+Blocks beyond CHUNK members are cut into chunks, each with a tree of its own. The
+first round searches within chunks. Afterwards the members that aren't in the
+block's main component, which is most often all that is left, visit the other
+chunks as queries.
 
 Documents of equal sets are one node from the start. Components are joined by
 alternating stars.
 
 Edge cases: a null or empty text (or one without words) has an empty set and is
 linked with nothing; a text of fewer words than a shingle has one shingle, its
-whole sequence; repeated rows are copies of each other; an empty table gives no
-rows; further columns are ignored by ``join`` and kept by ``keep_one``.
+whole sequence; repeated rows are copies of each other; rows that repeat an id with
+another text are linked each by its own text; rows without an id take part, and a
+component without any id has none; an empty table gives no rows; further columns
+are ignored by ``join`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -31,6 +42,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +50,14 @@ from arraylume.llm import common
 from arraylume.llm.components import components
 
 WIDTH, PERCENT = 3, 90
-GROUPS = 256
+#: Groups of a point, and of the sketch of a set with more than FINE_SMALL shingles.
+GROUPS, SKETCH_GROUPS = 512, 2_048
 CHUNK = 2_000
 LEAF, FANOUT = 24, 8
+#: Rounds in which a block emits a forest only.
+FORESTS = 3
+#: Partners of a set that one task verifies.
+PARTNERS = 500
 WORDS_KEPT = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -78,9 +95,9 @@ def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(total)
 
 
-def _edges(groups: int) -> np.ndarray:
-    """First hash of each group after the first: equal shares of the hash range."""
-    return (np.arange(1, groups, dtype=object) * (1 << 64) // groups).astype(_U)
+def fine(s: np.ndarray) -> np.ndarray:
+    """The sorted fine groups, 2**32 in all, of a set's shingles."""
+    return (s >> _U(32)).astype(np.uint32)
 
 
 class Bands:
@@ -93,7 +110,7 @@ class Bands:
             lows.append(low)
             low = low * 100 // percent + 1
         self.lows = np.array(lows)
-        self._edges: dict[int, np.ndarray] = {}
+        self._edges: dict[int, tuple[np.ndarray, int]] = {}
 
     def groups(self, band: int) -> tuple[np.ndarray, int]:
         """Edges of the band's groups and how many of them a set leaves out.
@@ -102,21 +119,24 @@ class Bands:
         differ in at most D, so of D + 1 + spare groups they agree on spare + 1 or
         more. Each set may leave out its ``spare`` least groups in an order that
         depends on a group's content only: the greatest group on which both agree
-        is left out by neither."""
+        is left out by neither. Contents are compared by fine groups, which are
+        equal where shingles are."""
         if band not in self._edges:
             high = int(self.lows[band + 1]) - 1
             differ = 2 * high * (100 - self.percent) // (100 + self.percent)
             spare = -(-differ // 3)
+            count = differ + 1 + spare
             if len(self._edges) > 64:
                 self._edges.clear()
-            self._edges[band] = (_edges(differ + 1 + spare), spare)
+            self._edges[band] = ((np.arange(1, count, dtype=object) << 32) // count).astype(np.uint32), spare
         return self._edges[band]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Block keys of a set, of band, group and the group's content. Groups of few
-        shingles, which unlike sets may share, are the ones left out."""
+        """Block keys of a set given by its fine groups, of band, group and the
+        group's content. Groups of few shingles, which unlike sets may share, are
+        the ones left out."""
         own = int(np.searchsorted(self.lows, len(s), "right")) - 1
-        sums = np.concatenate((np.zeros(1, _U), np.cumsum(common.mix64(s + _ODD[2]), dtype=_U)))
+        sums = np.concatenate((np.zeros(1, _U), np.cumsum(common.mix64(s.astype(_U) + _ODD[2]), dtype=_U)))
         out = []
         for band in (own, own + 1):
             edges, spare = self.groups(band)
@@ -127,43 +147,50 @@ class Bands:
         return np.concatenate(out)
 
 
-_POINT_EDGES = _edges(GROUPS)
+#: Sets of up to this many shingles are sketched by 2**16 groups.
+SKETCH_SMALL = 2_048
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Counts by group."""
-    return np.diff(np.concatenate(([0], np.searchsorted(s, _POINT_EDGES), [len(s)]))).astype(np.uint32)
-
+def sketch(s: np.ndarray) -> bytes:
+    """Of the fine groups of a small set their upper halves, of a larger set the
+    counts of SKETCH_GROUPS groups; the first byte tells which. What a block gets of
+    a set has a bounded size."""
+    if len(s) <= SKETCH_SMALL:
+        return b"\x01" + (s >> np.uint32(16)).astype(np.uint16).tobytes()
+    return b"\x00" + np.bincount(s >> np.uint32(21), minlength=SKETCH_GROUPS).astype(np.uint32).tobytes()
 
-#: Sets of up to this many shingles have 2**16 fine groups, larger ones 2**32.
-FINE_SMALL = 2_048
 
+def _counts(raw: bytes) -> np.ndarray:
+    """Counts by SKETCH_GROUPS groups."""
+    if raw[0]:
+        return np.bincount(np.frombuffer(raw, np.uint16, offset=1) >> np.uint16(5), minlength=SKETCH_GROUPS).astype(np.int32)
+    return np.frombuffer(raw, np.uint32, offset=1).astype(np.int32)
 
-def fine_point(s: np.ndarray) -> bytes:
-    """Counts by fine group, as the sorted groups of the shingles; the first byte
-    tells how many bytes a group takes."""
-    width = 2 if len(s) <= FINE_SMALL else 4
-    return bytes([width]) + (s >> _U(64 - 8 * width)).astype(np.uint16 if width == 2 else np.uint32).tobytes()
 
-
-def _counted(raw: bytes, width: int) -> np.ndarray:
-    """Groups with the number of the shingle within its group, so that equal counts
-    overlap by the smaller one."""
-    own = raw[0]
-    groups = np.frombuffer(raw, np.uint16 if own == 2 else np.uint32, offset=1).astype(_U) >> _U(8 * (own - width))
-    return groups << _U(16) | (np.arange(len(groups)) - np.searchsorted(groups, groups)).astype(_U)
+def point(raw: bytes) -> np.ndarray:
+    """Counts by group."""
+    if raw[0]:
+        return np.bincount(np.frombuffer(raw, np.uint16, offset=1) >> np.uint16(7), minlength=GROUPS).astype(np.int32)
+    return _counts(raw).reshape(GROUPS, -1).sum(axis=1, dtype=np.int32)
 
 
-def fine_bound(x: bytes, y: bytes) -> int:
-    """Sum over the fine groups of the smaller counts."""
-    width = min(x[0], y[0])
-    both = np.concatenate((_counted(x, width), _counted(y, width)))
-    both.sort()
-    return int((both[1:] == both[:-1]).sum())
+def _counted(raw: bytes) -> np.ndarray:
+    """A small set's groups with the number of the shingle within its group, so that
+    equal counts overlap by the smaller one."""
+    groups = np.frombuffer(raw, np.uint16, offset=1).astype(np.uint32)
+    again = np.zeros(len(groups), np.uint32)
+    for i in np.flatnonzero(groups[1:] == groups[:-1]) + 1:
+        again[i] = again[i - 1] + 1
+    return groups << np.uint32(12) | again
 
 
-def _size(raw: bytes) -> int:
-    return (len(raw) - 1) // raw[0]
+def sketch_bound(x: bytes, y: bytes) -> int:
+    """Sum over the finest groups that both sketches have of the smaller counts."""
+    if x[0] and y[0]:
+        both = np.concatenate((_counted(x), _counted(y)))
+        both.sort()
+        return int((both[1:] == both[:-1]).sum())
+    return int(np.minimum(_counts(x), _counts(y)).sum())
 
 
 def needed(a, b, percent: int):
@@ -171,22 +198,30 @@ def needed(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
+class _Node:
+    """Upper corner of the points below, their least total, the rows of a leaf or
+    the children, and a row of the component that all points have (-1: several)."""
+
+    __slots__ = ("children", "least", "one", "rows", "upper")
+
+    def __init__(self, upper, least, rows, children) -> None:
+        self.upper, self.least, self.rows, self.children, self.one = upper, least, rows, children, -1
+
+
 class CountTree:
     """R-tree over count vectors, packed by cutting the widest dimension.
 
-    A node keeps the upper corner of its points, their least total and, if all its
-    points are of one component, that component (else -1)."""
+    Components may be joined while it is searched: nodes whose points have become
+    one component are passed over by that component's queries."""
 
-    def __init__(self, points: np.ndarray, component: np.ndarray) -> None:
-        self.points, self.component = points, component
-        self.totals = points.sum(axis=1)
+    def __init__(self, points: np.ndarray, totals: np.ndarray) -> None:
+        self.points, self.totals = points, totals
         self.root = self._node(np.arange(len(points)))
 
-    def _node(self, rows: np.ndarray):
-        own = self.component[rows]
-        head = (self.points[rows].max(axis=0), int(self.totals[rows].min()), int(own[0]) if (own == own[0]).all() else -1)
+    def _node(self, rows: np.ndarray) -> _Node:
+        head = self.points[rows].max(axis=0), int(self.totals[rows].min())
         if len(rows) <= LEAF:
-            return (*head, rows, None)
+            return _Node(*head, rows, None)
         parts = [rows]
         while len(parts) < FANOUT:
             parts.sort(key=len)
@@ -200,22 +235,61 @@ class CountTree:
             values = total if total.max() - total.min() > spread.max() else p[:, int(spread.argmax())]
             order = np.argsort(values, kind="stable")
             parts += [big[order[: len(big) // 2]], big[order[len(big) // 2 :]]]
-        return (*head, None, [self._node(p) for p in parts])
-
-    def search(self, q: np.ndarray, component: int, percent: int):
-        """Rows of other components whose overlap bound with q reaches the need."""
-        total = int(q.sum())
-        stack, found = [self.root], []
-        while stack:
-            upper, least, own, rows, children = stack.pop()
-            if own == component or np.minimum(q, upper).sum() < needed(total, least, percent):
+        return _Node(*head, None, [self._node(p) for p in parts])
+
+    def search(self, q: np.ndarray, total: int, own: int, component: np.ndarray, percent: int) -> list[int]:
+        """Rows whose component isn't ``own`` and whose overlap bound with the point
+        q of this total reaches the need."""
+        found: list[int] = []
+
+        def visit(node: _Node) -> None:
+            if node.one >= 0 and component[node.one] == own or np.minimum(q, node.upper).sum() < needed(total, node.least, percent):
+                return
+            if node.children is not None:
+                for child in node.children:
+                    visit(child)
+                ones = [c.one for c in node.children]
+                if min(ones) >= 0 and len(set(component[ones].tolist())) == 1:
+                    node.one = ones[0]
+                return
+            other = node.rows[component[node.rows] != own]
+            if not len(other):
+                node.one = int(node.rows[0])
+                return
+            ok = np.minimum(self.points[other], q).sum(axis=1) >= needed(total, self.totals[other], percent)
+            found.extend(other[ok].tolist())
+
+        visit(self.root)
+        return found
+
+
+def block_pairs(side: list[int], component: list[int], raw: list[bytes], percent: int, refused: set, every: bool = False) -> list[tuple[int, int]]:
+    """Pairs of a block's rows that the bounds allow, each joined at once, so that
+    they are a forest over the components; with ``every``, all such pairs of
+    different components. Rows of side 1 are queries only; ``refused`` holds pairs
+    (smaller row first) that are no links."""
+    points = np.array([point(x) for x in raw])
+    totals, side = points.sum(axis=1), np.array(side)
+    _, component = np.unique(np.array(component), return_inverse=True)
+    first = np.flatnonzero(side == 0)
+    if not len(first):
+        return []
+    tree = CountTree(points[first], totals[first])
+    inside = component[first]
+    out, tried = [], set(refused)
+    for row in range(len(raw)):
+        for hit in first[tree.search(points[row], int(totals[row]), int(component[row]), inside, percent)].tolist():
+            pair = (row, hit) if row < hit else (hit, row)
+            if component[hit] == component[row] or pair in tried:
                 continue
-            if children is not None:
-                stack += children
+            tried.add(pair)
+            if sketch_bound(raw[row], raw[hit]) < needed(int(totals[row]), int(totals[hit]), percent):
                 continue
-            ok = (np.minimum(self.points[rows], q).sum(axis=1) >= needed(total, self.totals[rows], percent)) & (self.component[rows] != component)
-            found.append(rows[ok])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+            out.append(pair)
+            if not every:
+                component[component == component[hit]] = component[row]
+                inside = component[first]
+    return out
 
 
 def _identity(s: np.ndarray) -> tuple[bytes, int]:
@@ -225,194 +299,248 @@ def _identity(s: np.ndarray) -> tuple[bytes, int]:
 
 
 def _sets(docs: DataFrame, key: str, width: int) -> DataFrame:
-    """Key, id of the set, ``h`` (null for an empty set) and size."""
+    """Key, hash of the text, number of the row, id of the set and ``h`` (null for an
+    empty set), size and, on the first row of a set in a partition, fine groups."""
 
     def run(batches):
+        seen, row = set(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            found = [shingles(d, width) for d in common.utf8(batch.column(1))]
-            ids = [_identity(s) if len(s) else (None, None) for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in ids], pa.binary()), pa.array([x[1] for x in ids], pa.int64()), pa.array(list(map(len, found)), pa.int64())], names=["id", "sid", "h", "n"])
-        _HASHES.clear()
-
-    return docs.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, "id long, sid binary, h long, n long")
-
-
-def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, h) rows of the sets' block keys, of equal sets once a partition."""
-
-    def run(batches):
-        bands, seen = Bands(percent), set()
-        for batch in batches:
-            keys, h = [], []
-            for data in common.utf8(batch.column(0)):
+            sid, h, n, groups = [], [], [], []
+            for data in common.utf8(batch.column(2)):
                 s = shingles(data, width)
-                if not len(s) or (own := _identity(s)) in seen:
-                    continue
-                seen.add(own)
-                keys.append((bands.keys(s) >> _U(12)).view(np.int64))  # fewer bytes to shuffle
-                h.append(np.full(len(keys[-1]), own[1]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(h))], names=["key", "h"])
+                n.append(len(s))
+                own = _identity(s) if len(s) else (None, None)
+                sid.append(own[0])
+                h.append(own[1])
+                groups.append(fine(s).tobytes() if len(s) and own[0] not in seen else None)
+                seen.add(own[0])
+            rows = pa.array(range(row, row + len(n)), pa.int64())
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows, pa.array(sid, pa.binary()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(groups, pa.binary())], names=["id", "t", "row", "sid", "h", "n", "fine"])
         _HASHES.clear()  # idle workers shall be small
 
-    return docs.select("text").mapInArrow(run, "key long, h long")
+    read = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
+    return read.mapInArrow(run, "id long, t long, row long, sid binary, h long, n long, fine binary")
 
 
-def _reread(docs: DataFrame, key: str, names: DataFrame, width: int, make, outputs: str) -> DataFrame:
-    """(node, what ``make`` gives for the node's set) for the documents in ``names``.
-    Texts aren't shuffled: a filter picks the documents where they are read."""
-    bits, chosen = common.membership(names, "node")
-    columns = ["node", *(x.split()[0] for x in outputs.split(", "))]
+def _keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, h) rows of the block keys of (h, fine)."""
 
     def run(batches):
+        bands = Bands(percent)
         for batch in batches:
-            batch = batch.filter(pa.array(common.members(chosen.value, batch.column(2).to_numpy(zero_copy_only=False))))
-            found = [make(shingles(d, width)) for d in common.utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.binary()) for i in range(len(columns) - 1))], names=columns)
-        _HASHES.clear()
+            found = [bands.keys(np.frombuffer(x, np.uint32)) for x in batch.column(1).to_pylist()]
+            if found:
+                keys = (np.concatenate(found) >> _U(12)).view(np.int64)  # fewer bytes to shuffle
+                h = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), list(map(len, found)))
+                for i in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(h[i : i + 100_000])], names=["key", "h"])
 
-    node = F.col(key).cast("long")
-    read = docs.where(node.isNotNull()).select(node.alias("node"), "text", common.slot(node, bits).alias("slot"))
-    return read.mapInArrow(run, f"node long, {outputs}").join(names, "node").dropDuplicates(["node"])
+    return sets.select("h", "fine").mapInArrow(run, "key long, h long")
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The node pairs (a, b) whose overlap bound reaches the need; only points move."""
-    left, right = points.select(F.col("node").alias("a"), F.col("point").alias("pa")), points.select(F.col("node").alias("b"), F.col("point").alias("pb"))
+def _members(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(key, h) of the blocks of several members."""
+    # By far the largest exchange: more and smaller tasks bound an executor's memory.
+    keyed = _keys(sets, percent).repartition(4 * parts, "key")
+    shared = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
+    # Both sides read one exchange.
+    return common.stage(keyed.join(shared.hint("merge"), "key").select("key", "h").distinct())
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS) for i in (2, 3))
-            ok = np.minimum(p, q).sum(axis=1, dtype=np.int64) >= needed(p.sum(axis=1, dtype=np.int64), q.sum(axis=1, dtype=np.int64), percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+def _blocks(members: DataFrame) -> DataFrame:
+    """(key, h, c) of one block of each that have the same members, c chunks each."""
+    bits = [F.bit_xor(F.xxhash64("h", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    several = members.groupBy("key").agg(F.count("*").alias("m"), *bits)
+    chosen = several.groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("c"))
+    return common.stage(members.join(chosen, "key").select("key", "h", "c"))
 
 
-def _test(pairs: DataFrame, nodes: DataFrame, column: str, test) -> DataFrame:
-    """The node pairs (a, b) whose values of a column pass ``test``."""
-    left, right = (nodes.select(F.col("node").alias(n), F.col(column).alias(f"x{n}")) for n in "ab")
+def _sketches(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """(h, node, sketch) of the nodes in ``names``."""
 
     def run(batches):
         for batch in batches:
-            keep = [test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sketch(np.frombuffer(x, np.uint32)) for x in batch.column(2).to_pylist()], pa.binary())], names=["h", "node", "sketch"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+    found = sets.where("fine IS NOT NULL").select(F.col("row").alias("node"), "fine").join(names, "node")
+    return found.select("h", "node", "fine").mapInArrow(run, "h long, node long, sketch binary")
 
 
-def _verify(pairs: DataFrame, points: DataFrame, percent: int, read_items) -> DataFrame:
-    """Links (a, b) among node pairs: the bound by fine groups, then the sets, which
-    only the nodes of surviving pairs get (``read_items``)."""
-
-    def near(x, y):
-        return fine_bound(x, y) >= needed(_size(x), _size(y), percent)
-
-    def linked(x, y):
-        both = np.concatenate((np.frombuffer(x, _U), np.frombuffer(y, _U)))
-        both.sort()
-        return int((both[1:] == both[:-1]).sum()) >= needed(len(x) // 8, len(y) // 8, percent)
+def _dealt(placed: DataFrame, first: bool) -> DataFrame:
+    """Rows (key, chunk, side, node, component, sketch): the members of a chunk and,
+    but in the first round, the queries that visit it from other chunks."""
+    own = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("side", F.lit(0))
+    if not first:
+        # Sums per block and component; large blocks only.
+        held = placed.where("c > 1").groupBy("key", "component").agg(F.count("*").alias("k"))
+        main = held.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+        away = own.where("c > 1").join(main, "key").where("component <> main")
+        visits = away.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).where("other <> chunk")
+        own = own.unionByName(visits.withColumn("chunk", F.col("other")).withColumn("side", F.lit(1)).drop("other", "main"))
+    return own.select("key", "chunk", "side", "node", "component", "sketch")
 
-    left = common.stage(_test(pairs, points, "fine", near))
-    nodes = common.stage(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
-    return common.stage(_test(left, common.stage(read_items(nodes)), "items", linked))
 
-
-def _search_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of rows (key, i, j, side, node, component, point), which come
-    sorted by (key, i, j). Within (i, i) all members are searched, else the members
-    of chunk i against those of chunk j."""
-
-    def pairs(same, side, node, component, points):
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        queries = first if same else second
-        if not len(first) or not len(queries):
-            return
-        tree = CountTree(points[first], component[first])
-        for row in queries:
-            for hit in first[tree.search(points[row], int(component[row]), percent)]:
-                if not same or node[row] > node[hit]:
-                    yield int(node[row]), int(node[hit])
+def _search(dealt: DataFrame, parts: int, percent: int, every: bool) -> DataFrame:
+    """Pairs (key, a, b), a < b, of the blocks' rows. Rows of side 2 are refused pairs
+    (node, component)."""
 
     def run(batches):
         held: list[tuple] = []
         current = None
 
-        def close(rows):
+        def close():
+            rows = sorted((r for r in held if r[0] < 2), key=lambda r: r[1])
             if len(rows) < 2:
                 return []
             side, node, component, raw = zip(*rows)
-            return list(pairs(current[1] == current[2], np.array(side), np.array(node), np.array(component), np.stack([np.frombuffer(x, np.uint32) for x in raw]).astype(np.int32)))
+            at = {x: i for i, x in enumerate(node)}
+            refused = {(at[r[1]], at[r[2]]) for r in held if r[0] == 2 and r[1] in at and r[2] in at}
+            return [(current[0], node[i], node[j]) for i, j in block_pairs(side, component, raw, percent, refused, every)]
 
         def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["key", "a", "b"])
 
         for batch in batches:
             out = []
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, i, j) != current:
-                    out += close(held)
-                    held, current = [], (key, i, j)
+            for key, chunk, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, chunk) != current:
+                    out += close()
+                    held, current = [], (key, chunk)
                 held.append(row)
                 if len(out) > 50_000:
                     yield batch_of(out)
                     out = []
             yield batch_of(out)
-        yield batch_of(close(held))
+        yield batch_of(close())
+
+    rows = dealt.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk")
+    return rows.mapInArrow(run, "key long, a long, b long")
+
+
+def _items(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """(node, items) of (node, sid, t): the hashed sets, from the texts. Texts aren't
+    shuffled: a filter over their hashes picks them where they are read."""
+    bits, chosen = common.membership(names, "t")
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            batch = batch.filter(pa.array(common.members(chosen.value, batch.column(1).to_numpy(zero_copy_only=False))))
+            sid, items = [], []
+            for data in common.utf8(batch.column(0)):
+                s = shingles(data, width)
+                own = _identity(s)[0]
+                if own not in seen:
+                    seen.add(own)
+                    sid.append(own)
+                    items.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(items, pa.binary())], names=["sid", "items"])
+        _HASHES.clear()
+
+    read = docs.select("text", common.slot(F.xxhash64("text"), bits).alias("slot"))
+    return read.mapInArrow(run, "sid binary, items binary").join(names.select("node", "sid"), "sid").dropDuplicates(["node"]).select("node", "items")
+
 
-    return blocks.select("key", "i", "j", "side", "node", "component", "point").mapInArrow(run, "a long, b long")
+def _linked(pairs: DataFrame, items: DataFrame, parts: int, percent: int) -> DataFrame:
+    """The pairs (a, b) within the threshold. The sets of a node's partners come to it
+    in lots, and the node's own set before each lot."""
+    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("lots"))
+    heads = lots.join(items, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("side"), F.col("a").alias("b"), "items")
+    rest = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), F.lit(1).alias("side"), "b").join(items.withColumnRenamed("node", "b"), "b").select("a", "lot", "side", "b", "items")
+
+    def run(batches):
+        own = None
+        for batch in batches:
+            a, b = [], []
+            for left, side, right, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.frombuffer(raw, _U)
+                if side == 0:
+                    own = s
+                    continue
+                both = np.concatenate((own, s))
+                both.sort()
+                if int((both[1:] == both[:-1]).sum()) >= needed(len(own), len(s), percent):
+                    a.append(left)
+                    b.append(right)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = heads.union(rest).repartition(parts, "a", "lot").sortWithinPartitions("a", "lot", "side")
+    return dealt.select("a", "side", "b", "items").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes that are linked with others."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = _members(sets.where("fine IS NOT NULL"), percent, parts)
+    common.release(spark)
+    blocks = _blocks(members)
+    sketches = common.stage(_sketches(sets, reps.join(blocks.select("h").distinct(), "h").select("node", "h")))
+    tested = spark.createDataFrame([], "a long, b long, ok boolean")
+    known = spark.createDataFrame([], "node long, component long")
+    refused = spark.createDataFrame([], "key long, a long, b long")
+    todo = blocks
+
+    def home(pairs: DataFrame) -> DataFrame:
+        """The pairs with the components ca and cb of their nodes."""
+        for c in "ab":
+            of = known.select(F.col("node").alias(c), F.col("component").alias("of"))
+            pairs = pairs.join(of, c, "left").withColumn(f"c{c}", F.coalesce("of", c)).drop("of")
+        return pairs
+
+    for n in range(1, FORESTS + 2):
+        placed = todo.join(sketches, "h").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        dealt = _dealt(placed, n == 1)
+        chunks = todo.select("key", "c").distinct()
+        told = refused.join(chunks, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"), F.lit(2).alias("side"), F.col("a").alias("node"), F.col("b").alias("component"), F.lit(None).cast("binary").alias("sketch"))
+        emitted = common.stage(_search(dealt.unionByName(told), parts, percent, n > FORESTS))
+        pairs = common.stage(emitted.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        # A node's least partner first: most of the other pairs are within a component then.
+        lot = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        for part in range(2):
+            if part:
+                lot = home(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")).where("ca <> cb").select("a", "b")
+            lot = common.stage(lot)
+            if lot.isEmpty():
+                break
+            nodes = lot.select(F.col("a").alias("node")).union(lot.select("b")).distinct()
+            items = common.stage(_items(docs, reps.join(nodes, "node").select("node", "sid", "t"), width))
+            good = _linked(lot, items, parts, percent).withColumn("ok", F.lit(True))
+            tested = common.stage(tested.union(lot.join(good, ["a", "b"], "left").select("a", "b", F.coalesce("ok", F.lit(False)))))
+            known = common.stage(components(tested.where("ok").select("a", "b")))
+        # A refused pair matters where its block took it for a link that isn't there.
+        wrong = home(emitted.join(tested.where("NOT ok").select("a", "b"), ["a", "b"])).where("ca <> cb").select("key", "a", "b")
+        refused = common.stage(refused.union(wrong))
+        again = wrong.select("key").union(blocks.where("c > 1").select("key")) if n == 1 else wrong.select("key")
+        todo = common.stage(blocks.join(again.distinct(), "key"))
+        if todo.isEmpty():
+            break
+    return known
 
 
 def join(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` (least key reachable by links)."""
-    spark = common.prepare(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    common.prepare(docs.sparkSession)
     sets = common.stage(_sets(docs, key, width))
-    reps = common.stage(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("node"), F.first("h").alias("h")))
-
-    # By far the largest exchange: more and smaller tasks bound an executor's memory.
-    keyed = _keys(docs, width, percent).repartition(4 * parts, "key")
-    shared = keyed.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("top")).where("pivot < top").select("key", "pivot")
-    # Both sides read one exchange.
-    members = keyed.join(shared.hint("merge"), "key").select("key", "h", "pivot").distinct()
-    del keyed, shared
-    members = common.stage(members)
-
-    names = common.stage(reps.join(members.select("h").distinct(), "h").select("node", "h"))
-    points = common.stage(_reread(docs, key, names, width, lambda s: (point(s).tobytes(), fine_point(s)), "point binary, fine binary"))
-    items = lambda nodes: _reread(docs, key, nodes, width, lambda s: (s.tobytes(),), "items binary")
-    a, b = names.select(F.col("node").alias("a"), "h"), names.select(F.col("node").alias("b"), F.col("h").alias("pivot"))
-    pairs = members.where("h <> pivot").select("h", "pivot").distinct().join(a, "h").join(b, "pivot").select("a", "b")
-    links = _verify(_bounded(pairs, points, percent), points, percent, items)
-    found = common.stage(components(links))
-
-    homes = common.stage(names.join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component")))
-    placed = members.select("key", "h").join(homes, "h").select("key", "node", "component").repartition(parts, "key")
-    # Blocks of the same members are searched once.
-    bits = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *bits).where("lo < hi")
-    mixed = common.stage(mixed.groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("c")))
-    chunked = placed.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).join(points.select("node", "point"), "node")
-    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    blocks = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "component", "point")
-    more = _search_blocks(blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j"), percent).distinct()
-    links2 = _verify(more, points, percent, items)
-    final = components(links.union(links2))
-
-    named = reps.join(final, "node", "left").select("sid", F.coalesce("component", "node").alias("component_id"))
+    reps = common.stage(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.when(F.col("fine").isNotNull(), F.col("row"))).alias("node"), F.min("id").alias("least"), F.min("t").alias("t"), F.min("h").alias("h")))
+    known = reps.join(links(docs, sets, reps, width, percent), "node").select("node", "component", "least")
+    named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    named = reps.join(named, "node", "left").select("sid", F.coalesce("component_id", "least").alias("component_id"))
     return sets.select("id", "sid", "n").join(named, "sid", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of least key of each component, all columns kept; of rows that
-    repeat that key, all stay."""
-    gone = common.stage(join(docs, key, width, percent).where(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias("gone")).distinct())
+    repeat that key, all stay, and so do rows without a key."""
+    gone = join(docs, key, width, percent).where(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias("gone")).distinct()
+    gone = common.stage(gone)
     # Documents that the filter clears stay without a shuffle of their texts.
     chosen = common.membership(gone, "gone")
+    name = common.unused(docs, "gone")
+    gone = gone.withColumnRenamed("gone", name)
     side = lambda maybe: common.sift(docs, F.col(key), *chosen, maybe)
-    return side(False).union(side(True).join(gone, F.col(key).cast("long") == F.col("gone"), "left_anti"))
+    return side(False).union(side(True).join(gone, F.col(key).cast("long") == F.col(name), "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

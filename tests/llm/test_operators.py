@@ -297,6 +297,45 @@ def test_keep_one(spark):
     assert ngram_join.keep_one(twice).count() == 2 * len(want)
 
 
+def test_near_sets_are_verified_and_refused_pairs_searched_again(spark):
+    # 6,000 words: the sketches of unlinked texts (similarity 0.78) pass the bound.
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(6000)]
+    other = lambda n, tag: [f"{tag}{i}" for i in range(n)]
+    far, half = other(750, "x") + words[750:], other(375, "x") + words[375:]
+    alone = [f"v{i}" for i in range(6000)]
+    texts = [words, far, half, alone, other(750, "y") + alone[750:], words[:40], rng.sample(words, 6000)]
+    texts = [" ".join(t) for t in texts]
+    got = rows(ngram_join.join(h.table(spark, texts), width=2, percent=80), "n_shingles", "component_id")
+    want = h.jaccard_components(range(len(texts)), texts, 2, 80)
+    assert [got[i] for i in range(len(texts))] == want and [c for _, c in want] == [0, 0, 0, 3, 4, 5, 6]
+
+
+def test_ids_that_are_null_or_repeat_with_other_texts(spark):
+    a, b = "one two three four five six seven", "red green blue black white pink grey"
+    ids, texts = [7, 7, 3, None, None, 9, None], [a, b, a, b, "lone words of no id", b, ""]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(h.table(spark, texts, ids)).collect()]
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(got, key=key) == sorted([(7, 5, 3), (7, 5, 7), (3, 5, 3), (None, 5, 7), (None, 3, None), (9, 5, 7), (None, 0, None)], key=key)
+
+
+def test_keep_one_with_clashing_names(spark):
+    texts = ["a b c d e f g"] * 3 + ["h i j k l m n"]
+    docs = h.table(spark, texts).selectExpr("*", "doc_id AS gone", "text AS slot_", "doc_id AS component_id")
+    out = ngram_join.keep_one(docs)
+    assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in docs.where("doc_id IN (0, 3)").collect())
+
+
+def _near_sets(rng, n, size, changes):
+    base = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+    out = []
+    for _ in range(n):
+        s = base.copy()
+        s[rng.integers(0, size, changes)] = rng.integers(0, 1 << 63, changes, dtype=np.uint64)
+        out.append(np.unique(s))
+    return out
+
+
 def test_blocks_lose_no_pair():
     rng = np.random.default_rng(3)
     for percent in (50, 80, 90):
@@ -308,32 +347,58 @@ def test_blocks_lose_no_pair():
             b = np.unique(np.concatenate((rng.permutation(a)[drop // 2 :], rng.integers(0, 1 << 63, drop - drop // 2, dtype=np.uint64))))
             both = len(np.intersect1d(a, b))
             if 100 * both >= percent * (len(a) + len(b) - both):
-                assert set(bands.keys(a).tolist()) & set(bands.keys(b).tolist())
-                assert np.minimum(ngram_join.point(a), ngram_join.point(b)).sum() >= both
-                assert ngram_join.fine_bound(ngram_join.fine_point(a), ngram_join.fine_point(b)) >= both
+                x, y = ngram_join.fine(a), ngram_join.fine(b)
+                assert set(bands.keys(x).tolist()) & set(bands.keys(y).tolist())
+                x, y = ngram_join.sketch(x), ngram_join.sketch(y)
+                assert np.minimum(ngram_join.point(x), ngram_join.point(y)).sum() >= both
+                assert ngram_join.sketch_bound(x, y) >= both
 
 
-def test_fine_bound_of_small_and_large_sets():
+def test_sketches_of_small_and_large_sets():
     rng = np.random.default_rng(8)
     pool = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
     for n, m in ((0, 5), (300, 320), (2000, 2100), (2100, 2200), (3000, 3000)):
         a, b = np.sort(rng.choice(pool, n, False)), np.sort(rng.choice(pool, m, False))
-        width = min(ngram_join.fine_point(a)[0], ngram_join.fine_point(b)[0])
-        x, y = (Counter((s >> np.uint64(64 - 8 * width)).tolist()) for s in (a, b))
-        bound = ngram_join.fine_bound(ngram_join.fine_point(a), ngram_join.fine_point(b))
-        assert bound == sum((x & y).values()) >= len(np.intersect1d(a, b))
+        shift = np.uint64(48 if max(n, m) <= ngram_join.SKETCH_SMALL else 53)
+        x, y = (Counter((s >> shift).tolist()) for s in (a, b))
+        raw = [ngram_join.sketch(ngram_join.fine(s)) for s in (a, b)]
+        assert ngram_join.sketch_bound(*raw) == sum((x & y).values()) >= len(np.intersect1d(a, b))
+        assert [int(ngram_join.point(r).sum()) for r in raw] == [n, m] and max(map(len, raw)) <= 8193
 
 
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(4)
     points = rng.poisson(3, (300, ngram_join.GROUPS)).astype(np.int32)
     points[100:150] = points[0] + rng.poisson(0.05, (50, ngram_join.GROUPS))
+    totals = points.sum(axis=1)
     component = rng.integers(0, 6, 300)
-    tree = ngram_join.CountTree(points, component)
-    for row in range(0, 300, 7):
-        need = ngram_join.needed(points[row].sum(), points.sum(axis=1), 90)
+    tree = ngram_join.CountTree(points, totals)
+    for step, row in enumerate(range(0, 300, 7)):
+        need = ngram_join.needed(totals[row], totals, 90)
         want = np.flatnonzero((np.minimum(points, points[row]).sum(axis=1) >= need) & (component != component[row]))
-        assert sorted(tree.search(points[row], int(component[row]), 90)) == want.tolist()
+        assert sorted(tree.search(points[row], int(totals[row]), int(component[row]), component, 90)) == want.tolist()
+        if step % 9 == 8:  # components may be joined meanwhile
+            component[component == component.max()] = component.min()
+
+
+def test_a_block_emits_a_forest():
+    rng = np.random.default_rng(6)
+    sets = [*_near_sets(rng, 2000, 200, 4), *_near_sets(rng, 30, 200, 4), *_near_sets(rng, 30, 200, 60)]
+    raw = [ngram_join.sketch(ngram_join.fine(s)) for s in sets]
+    found = ngram_join.block_pairs([0] * len(raw), list(range(len(raw))), raw, 90, set())
+    assert len(found) == 1999 + 29
+    assert {(a < 2000, a < 2030) for a, b in found} == {(True, True), (False, True)} and all((a < 2000) == (b < 2000) and a < b < 2030 for a, b in found)
+    # Known components, refused pairs and queries from other chunks.
+    some = list(range(2000, 2030))
+    few = [raw[i] for i in some]
+    every = ngram_join.block_pairs([0] * 30, some, few, 90, set(), every=True)
+    assert len(every) == 30 * 29 // 2
+    assert ngram_join.block_pairs([0] * 30, [5] * 30, few, 90, set()) == []
+    assert len(ngram_join.block_pairs([0] * 30, [5] * 10 + [6] * 20, few, 90, set())) == 1
+    assert len(ngram_join.block_pairs([0] * 30, [5] * 10 + [6] * 20, few, 90, {(0, j) for j in range(10, 30)})) == 1
+    assert ngram_join.block_pairs([0] * 30, some, few, 90, set(every)) == []
+    assert ngram_join.block_pairs([1] * 30, some, few, 90, set()) == []
+    assert all(a < 10 or b < 10 for a, b in ngram_join.block_pairs([0] * 10 + [1] * 20, some, few, 90, set()))
 
 
 def test_components(spark):
