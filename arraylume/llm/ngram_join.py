@@ -147,50 +147,59 @@ class Bands:
         return np.concatenate(out)
 
 
-#: Sets of up to this many shingles are sketched by 2**16 groups.
-SKETCH_SMALL = 2_048
+#: Sets of up to this many shingles are sketched by 2**14 groups.
+SKETCH_SMALL = 4_096
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Of the fine groups of a small set their upper halves, of a larger set the
-    counts of SKETCH_GROUPS groups; the first byte tells which. What a block gets of
-    a set has a bounded size."""
-    if len(s) <= SKETCH_SMALL:
-        return b"\x01" + (s >> np.uint32(16)).astype(np.uint16).tobytes()
-    return b"\x00" + np.bincount(s >> np.uint32(21), minlength=SKETCH_GROUPS).astype(np.uint32).tobytes()
-
-
-def _counts(raw: bytes) -> np.ndarray:
-    """Counts by SKETCH_GROUPS groups."""
-    if raw[0]:
-        return np.bincount(np.frombuffer(raw, np.uint16, offset=1) >> np.uint16(5), minlength=SKETCH_GROUPS).astype(np.int32)
-    return np.frombuffer(raw, np.uint32, offset=1).astype(np.int32)
-
-
-def point(raw: bytes) -> np.ndarray:
-    """Counts by group."""
-    if raw[0]:
-        return np.bincount(np.frombuffer(raw, np.uint16, offset=1) >> np.uint16(7), minlength=GROUPS).astype(np.int32)
-    return _counts(raw).reshape(GROUPS, -1).sum(axis=1, dtype=np.int32)
-
-
-def _counted(raw: bytes) -> np.ndarray:
-    """A small set's groups with the number of the shingle within its group, so that
-    equal counts overlap by the smaller one."""
-    groups = np.frombuffer(raw, np.uint16, offset=1).astype(np.uint32)
-    again = np.zeros(len(groups), np.uint32)
-    for i in np.flatnonzero(groups[1:] == groups[:-1]) + 1:
-        again[i] = again[i - 1] + 1
-    return groups << np.uint32(12) | again
-
-
-def sketch_bound(x: bytes, y: bytes) -> int:
+    """Of the fine groups of a small set the steps from one to the next of 2**14
+    groups, a byte each (255: go on), of a larger set the counts of SKETCH_GROUPS
+    groups; the first byte tells which. What a block gets of a set is bounded."""
+    if len(s) > SKETCH_SMALL:
+        return b"\x00" + np.bincount(s >> np.uint32(21), minlength=SKETCH_GROUPS).astype(np.uint32).tobytes()
+    steps = np.diff((s >> np.uint32(18)).astype(np.int32), prepend=0)
+    out = np.full(len(s) + int((steps // 255).sum()), 255, np.uint8)
+    out[np.cumsum(steps // 255 + 1) - 1] = steps % 255
+    return b"\x01" + out.tobytes()
+
+
+class Sketch:
+    """A sketch unpacked: its groups (None for a large set), counts and point."""
+
+    def __init__(self, raw: bytes) -> None:
+        self._counted = self._counts = self.groups = None
+        if raw[0]:
+            steps = np.frombuffer(raw, np.uint8, offset=1)
+            self.groups = np.cumsum(steps, dtype=np.int32)[steps != 255]
+            self.point = np.bincount(self.groups >> 5, minlength=GROUPS).astype(np.int32)
+        else:
+            self._counts = np.frombuffer(raw, np.uint32, offset=1).astype(np.int32)
+            self.point = self._counts.reshape(GROUPS, -1).sum(axis=1, dtype=np.int32)
+
+    def counts(self) -> np.ndarray:
+        """Counts by SKETCH_GROUPS groups."""
+        if self._counts is None:
+            self._counts = np.bincount(self.groups >> 3, minlength=SKETCH_GROUPS).astype(np.int32)
+        return self._counts
+
+    def counted(self) -> np.ndarray:
+        """Groups with the number of the shingle within its group, so that equal
+        counts overlap by the smaller one."""
+        if self._counted is None:
+            again = np.zeros(len(self.groups), np.int32)
+            for i in np.flatnonzero(self.groups[1:] == self.groups[:-1]) + 1:
+                again[i] = again[i - 1] + 1
+            self._counted = self.groups << 13 | again
+        return self._counted
+
+
+def sketch_bound(x: Sketch, y: Sketch) -> int:
     """Sum over the finest groups that both sketches have of the smaller counts."""
-    if x[0] and y[0]:
-        both = np.concatenate((_counted(x), _counted(y)))
-        both.sort()
-        return int((both[1:] == both[:-1]).sum())
-    return int(np.minimum(_counts(x), _counts(y)).sum())
+    if x.groups is None or y.groups is None:
+        return int(np.minimum(x.counts(), y.counts()).sum())
+    both = np.concatenate((x.counted(), y.counted()))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
 
 
 def needed(a, b, percent: int):
@@ -268,7 +277,8 @@ def block_pairs(side: list[int], component: list[int], raw: list[bytes], percent
     they are a forest over the components; with ``every``, all such pairs of
     different components. Rows of side 1 are queries only; ``refused`` holds pairs
     (smaller row first) that are no links."""
-    points = np.array([point(x) for x in raw])
+    sketches = [Sketch(x) for x in raw]
+    points = np.array([x.point for x in sketches])
     totals, side = points.sum(axis=1), np.array(side)
     _, component = np.unique(np.array(component), return_inverse=True)
     first = np.flatnonzero(side == 0)
@@ -283,7 +293,7 @@ def block_pairs(side: list[int], component: list[int], raw: list[bytes], percent
             if component[hit] == component[row] or pair in tried:
                 continue
             tried.add(pair)
-            if sketch_bound(raw[row], raw[hit]) < needed(int(totals[row]), int(totals[hit]), percent):
+            if sketch_bound(sketches[row], sketches[hit]) < needed(int(totals[row]), int(totals[hit]), percent):
                 continue
             out.append(pair)
             if not every:
@@ -357,14 +367,17 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def _sketches(sets: DataFrame, names: DataFrame) -> DataFrame:
-    """(h, node, sketch) of the nodes in ``names``."""
+    """(h, node, sketch) of the nodes in ``names``. Only sketches that a filter over
+    the nodes lets pass are shuffled."""
+    bits, chosen = common.membership(names, "node")
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sketch(np.frombuffer(x, np.uint32)) for x in batch.column(2).to_pylist()], pa.binary())], names=["h", "node", "sketch"])
+            batch = batch.filter(pa.array(common.members(chosen.value, batch.column(2).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(np.frombuffer(x, np.uint32)) for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "sketch"])
 
-    found = sets.where("fine IS NOT NULL").select(F.col("row").alias("node"), "fine").join(names, "node")
-    return found.select("h", "node", "fine").mapInArrow(run, "h long, node long, sketch binary")
+    read = sets.where("fine IS NOT NULL").select(F.col("row").alias("node"), "fine", common.slot(F.col("row"), bits).alias("slot"))
+    return read.mapInArrow(run, "node long, sketch binary").join(names, "node").select("h", "node", "sketch")
 
 
 def _dealt(placed: DataFrame, first: bool) -> DataFrame:
@@ -476,7 +489,7 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, width: int, percent
     members = _members(sets.where("fine IS NOT NULL"), percent, parts)
     common.release(spark)
     blocks = _blocks(members)
-    sketches = common.stage(_sketches(sets, reps.join(blocks.select("h").distinct(), "h").select("node", "h")))
+    sketches = common.stage(_sketches(sets, common.stage(reps.join(blocks.select("h").distinct(), "h").select("node", "h"))))
     tested = spark.createDataFrame([], "a long, b long, ok boolean")
     known = spark.createDataFrame([], "node long, component long")
     refused = spark.createDataFrame([], "key long, a long, b long")
@@ -495,6 +508,8 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, width: int, percent
         chunks = todo.select("key", "c").distinct()
         told = refused.join(chunks, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"), F.lit(2).alias("side"), F.col("a").alias("node"), F.col("b").alias("component"), F.lit(None).cast("binary").alias("sketch"))
         emitted = common.stage(_search(dealt.unionByName(told), parts, percent, n > FORESTS))
+        if n == 1:
+            common.release(spark)  # the exchange of all blocks
         pairs = common.stage(emitted.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         # A node's least partner first: most of the other pairs are within a component then.
         lot = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -505,7 +520,7 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, width: int, percent
             if lot.isEmpty():
                 break
             nodes = lot.select(F.col("a").alias("node")).union(lot.select("b")).distinct()
-            items = common.stage(_items(docs, reps.join(nodes, "node").select("node", "sid", "t"), width))
+            items = common.stage(_items(docs, common.stage(reps.join(nodes, "node").select("node", "sid", "t")), width))
             good = _linked(lot, items, parts, percent).withColumn("ok", F.lit(True))
             tested = common.stage(tested.union(lot.join(good, ["a", "b"], "left").select("a", "b", F.coalesce("ok", F.lit(False)))))
             known = common.stage(components(tested.where("ok").select("a", "b")))

@@ -349,21 +349,24 @@ def test_blocks_lose_no_pair():
             if 100 * both >= percent * (len(a) + len(b) - both):
                 x, y = ngram_join.fine(a), ngram_join.fine(b)
                 assert set(bands.keys(x).tolist()) & set(bands.keys(y).tolist())
-                x, y = ngram_join.sketch(x), ngram_join.sketch(y)
-                assert np.minimum(ngram_join.point(x), ngram_join.point(y)).sum() >= both
+                x, y = (ngram_join.Sketch(ngram_join.sketch(z)) for z in (x, y))
+                assert np.minimum(x.point, y.point).sum() >= both
                 assert ngram_join.sketch_bound(x, y) >= both
 
 
 def test_sketches_of_small_and_large_sets():
     rng = np.random.default_rng(8)
-    pool = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
-    for n, m in ((0, 5), (300, 320), (2000, 2100), (2100, 2200), (3000, 3000)):
+    pool = np.unique(rng.integers(0, 1 << 63, 8000, dtype=np.uint64) * np.uint64(2))
+    for n, m in ((0, 5), (1, 1), (7, 9), (300, 320), (3000, 3000), (4000, 4200), (4200, 5000)):
         a, b = np.sort(rng.choice(pool, n, False)), np.sort(rng.choice(pool, m, False))
-        shift = np.uint64(48 if max(n, m) <= ngram_join.SKETCH_SMALL else 53)
+        shift = np.uint64(50 if max(n, m) <= ngram_join.SKETCH_SMALL else 53)
         x, y = (Counter((s >> shift).tolist()) for s in (a, b))
         raw = [ngram_join.sketch(ngram_join.fine(s)) for s in (a, b)]
-        assert ngram_join.sketch_bound(*raw) == sum((x & y).values()) >= len(np.intersect1d(a, b))
-        assert [int(ngram_join.point(r).sum()) for r in raw] == [n, m] and max(map(len, raw)) <= 8193
+        both = [ngram_join.Sketch(r) for r in raw]
+        assert ngram_join.sketch_bound(*both) == sum((x & y).values()) >= len(np.intersect1d(a, b))
+        assert [int(s.point.sum()) for s in both] == [n, m] and max(map(len, raw)) <= 8193
+        if n <= ngram_join.SKETCH_SMALL:
+            assert both[0].groups.tolist() == sorted(x.elements()) if m <= ngram_join.SKETCH_SMALL else True
 
 
 def test_tree_finds_what_a_scan_finds():
