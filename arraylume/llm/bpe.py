@@ -17,7 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LIMIT = 0x530  # the pattern below knows the code points before this one and U+2000-U+206F
 #: Distinct pre-tokens that a worker keeps; longer pre-tokens are never kept.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 48
 
 
@@ -81,6 +81,7 @@ class Cache(dict):
         super().__init__(frequent or {})
         self.path, self.make, self.first = path, make, dict(frequent or {})
         self.own, self.before = 0, {}
+        self.model = None
 
     def encode(self, text: str):
         """Of a whole text."""
@@ -89,8 +90,13 @@ class Cache(dict):
     def __missing__(self, pretoken: str):
         value = self.before.get(pretoken)
         if value is None:
-            model = _MODELS.get(self.path) or _MODELS.setdefault(self.path, tokenizer(self.path).model)
-            value = self.make([t.id for t in model.tokenize(pretoken.encode().decode("latin-1").translate(_LETTER_OF_BYTE))])
+            if self.model is None:
+                self.model = _MODELS.get(self.path) or _MODELS.setdefault(self.path, tokenizer(self.path).model)
+            if pretoken.isascii() and pretoken.isprintable():  # all but the blank stand for themselves
+                letters = pretoken.replace(" ", _LETTER_OF_BYTE[32])
+            else:
+                letters = pretoken.encode().decode("latin-1").translate(_LETTER_OF_BYTE)
+            value = self.make([t.id for t in self.model.tokenize(letters)])
         if len(pretoken) <= CACHE_CHARS:
             if self.own >= CACHE_ENTRIES // 2:
                 self.before = dict(self)

@@ -18,9 +18,8 @@ each by itself; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import heapq
-import sys
+import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arraylume.llm import bpe, common
 
-CAPACITY, PIECE, GROUP_WINDOWS, CLOSING = 2048, 256, 128, 1
+CAPACITY, PIECE, GROUP_WINDOWS, CLOSING = 2048, 512, 128, 1
 
 OUTPUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Packers of few ids, by their number.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def ids_bytes(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encode(text: str, known: bpe.Cache, special, ids: dict[str, int]) -> bytes:
@@ -101,34 +101,48 @@ def pack_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id"
     path = bpe.checked(path)
     kind = docs.schema[key].dataType.simpleString()
 
+    names = [key, *(x.split()[0] for x in OUTPUT.split(", "))]
+
     def run(batches):
         known = bpe.cache(path, "ids", ids_bytes)
         special, ids = bpe.specials(path)
         closing = ids_bytes([CLOSING])
         base = TaskContext.get().partitionId() << 40
         made = 0
-        rows: list[tuple] = []  # of the group: key, start, length, crc, document's ids
-        full: list[tuple] = []
-        waiting = 0
-
-        def emit(done, kind_of_key):
-            names = [key, *(x.split()[0] for x in OUTPUT.split(", "))]
-            columns = list(zip(*done))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind_of_key), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
-
-        def close():
-            nonlocal made, rows, waiting
-            out = []
-            for part in pack([r[2] for r in rows], capacity):
-                offset = 0
-                for i in part:
-                    out.append((*rows[i], base + made, offset))
-                    offset += rows[i][2]
-                made += 1
-            rows, waiting = [], 0
+        # Pieces of the group, and whole windows: key, start, length, CRC, document's ids.
+        rows, whole = ([], [], [], [], []), ([], [], [], [], [])
+        waiting, kind_of_key = 0, None
+
+        def add(columns, *values):
+            for column, value in zip(columns, values):
+                column.append(value)
+
+        def batch_of(columns, order, sequence, offset):
+            """The rows in this order, and the columns emptied."""
+            arrays = [pa.array(columns[0], kind_of_key).take(pa.array(order)), *(pa.array(np.array(c, np.int64)[order]) for c in columns[1:])]
+            for column in columns:
+                column.clear()
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(base + sequence), pa.array(offset)], names=names)
+
+        def group():
+            nonlocal made, waiting
+            sizes = np.array(rows[2])
+            parts = pack(rows[2], capacity)
+            order = np.concatenate([np.array(x) for x in parts])
+            ends = np.cumsum(sizes[order])
+            counts = np.array([len(x) for x in parts])
+            before = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)[:-1]))]
+            out = batch_of(rows, order, made + np.repeat(np.arange(len(parts)), counts), ends - sizes[order] - np.repeat(before, counts))
+            made += len(parts)
+            waiting = 0
             return out
 
-        kind_of_key = None
+        def windows():
+            nonlocal made
+            n = len(whole[0])
+            made += n
+            return batch_of(whole, np.arange(n), made - n + np.arange(n), np.zeros(n, np.int64))
+
         for batch in batches:
             kind_of_key = batch.column(0).type
             for doc, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1))):
@@ -136,22 +150,18 @@ def pack_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id"
                 total, start = len(data) // 4, 0
                 while start < total:
                     size = capacity if total - start >= capacity else min(piece, total - start)
-                    row = (doc, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), total)
+                    add(whole if size == capacity else rows, doc, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), total)
                     start += size
-                    if size == capacity:
-                        full.append((*row, base + made, 0))
-                        made += 1
-                    else:
-                        rows.append(row)
+                    if size < capacity:
                         waiting += size
-                    if waiting >= capacity * group_windows - piece:
-                        full += close()
-                if len(full) >= 5_000:
-                    yield emit(full, kind_of_key)
-                    full = []
-        full += close()
-        if full:
-            yield emit(full, kind_of_key)
+                        if waiting >= capacity * group_windows - piece:
+                            yield group()
+                if len(whole[0]) >= 5_000:
+                    yield windows()
+        if rows[0]:
+            yield group()
+        if whole[0]:
+            yield windows()
 
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, {OUTPUT}")
 
