@@ -9,8 +9,8 @@ classes' shares of the fitted rows unless given.
 
 Edge cases: a null or empty text has all counts zero and gets a score; documents
 without a label are scored too; rows with a null label or id are not used to fit;
-a class without rows makes the fit fail with a ValueError; repeated rows are
-scored each; further columns are ignored, or kept by ``keep_good``.
+where a class has no labelled rows (or there are none at all, or no documents)
+nothing tells the classes apart and every score is 0.5; repeated rows are scored each; further columns are ignored, or kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -77,6 +77,8 @@ class Discriminant:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1."""
+        if not len(self.means):
+            return np.full(len(x), 0.5)
         parts = []
         for mean, factor, log in zip(self.means, self.factors, self.logs):
             z = (x - mean) @ factor.T
@@ -85,10 +87,11 @@ class Discriminant:
 
 
 def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = SHRINKAGE, priors=None) -> Discriminant:
-    """Covariances are shrunk towards the pooled one and its diagonal."""
+    """Covariances are shrunk towards the pooled one and its diagonal. Without rows of
+    both classes the model has no means and scores 0.5."""
     groups = [x[y == k] for k in (0, 1)]
     if min(map(len, groups)) == 0:
-        raise ValueError("each class needs labelled rows")
+        return Discriminant(np.zeros((0, x.shape[1])), np.zeros(0), np.zeros(0))
     means = np.array([g.mean(axis=0) for g in groups])
     priors = priors or tuple(len(g) / len(x) for g in groups)
     centred = [g - m for g, m in zip(groups, means)]

@@ -83,29 +83,45 @@ def train(sample: list[tuple[str, int]]) -> list[float]:
     return out
 
 
+#: Matches that one walk over a text's matches appends to; longer lists are walked in parts.
+PART = 256
+
+
 def _found(text, pattern: str):
     """Matches of a pattern as structs (start, end, m) in code points."""
+    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(matches)), F.length).alias("gap"), matches.alias("m"))
-    empty = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    walk = F.aggregate(
-        lengths,
-        empty,
-        lambda acc, x: F.concat(acc, F.array(F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["gap"]).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))),
-    )
-    return walk
+
+    def walk(part, at):
+        """The matches of a part that begins at a position."""
+        span = lambda acc, x: F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m"))
+        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(span(acc, x))).alias("out"))
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def parts(rows):
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PART).cast("int")), lambda i: F.slice(rows, i * PART + 1, PART))
+        return F.when(F.size(rows) <= PART, walk(rows, F.lit(0))).otherwise(common.let(cut, joined))
+
+    def joined(cut):
+        sizes = F.transform(cut, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x["gap"] + F.length(x["m"])))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(cut, F.slice(begins, 1, F.size(cut)), walk))
+
+    rows = common.let(matches, lambda m: F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(m)), F.length).alias("gap"), m.alias("m")))
+    return common.let(rows, parts)
 
 
 def _llr(token, table: list[float]):
-    """Mean log-likelihood ratio a transition; the table is a literal array."""
-    ratios = F.array(*map(F.lit, table)) if table else None
+    """Mean log-likelihood ratio a transition; the table becomes one literal."""
+    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     total = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(ratios, F.element_at(c, i) * WIDTH + F.element_at(c, i + 1) + 1))
     return common.let(F.filter(codes, lambda c: c >= 0), total) / (F.length(token) - 1)
 
 
-def find_spans(docs: DataFrame, sample: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with ``spans_``: array of (start, kind rank, end, kind), sorted."""
+def find_spans(docs: DataFrame, sample: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> tuple[DataFrame, str, str]:
+    """The documents with two more columns, arrays of (start, kind rank, end, kind),
+    sorted, and the names of these: the patterns' spans, and all spans."""
     common.prepare(docs.sparkSession)
     table = train(sample or default_sample())
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -113,19 +129,20 @@ def find_spans(docs: DataFrame, sample: list[tuple[str, int]] | None = None, thr
     lower = F.lower(text)
     keyword = lower.contains("passw") | lower.contains("secret") | lower.contains("token") | lower.contains("apikey") | lower.contains("api_key")
     value = lambda m: F.regexp_extract(m, ASSIGN, 2)
+    own = {k: common.unused(docs, f"found_{k}") for k in (*KINDS[:3], "token", "base", "spans")}
     step = docs.withColumns({
-        "f_assign": F.when(keyword, F.filter(_found(text, ASSIGN), lambda x: F.length(value(x["m"])) >= ASSIGN_VALUE)).otherwise(none),
-        "f_access": F.when(text.contains("AKIA"), _found(text, ACCESS)).otherwise(none),
-        "f_hex": F.when(text.rlike(HEX), _found(text, HEX)).otherwise(none),
-        "f_token": F.when(text.rlike(TOKEN), _found(text, TOKEN)).otherwise(none),
+        own["assign"]: F.when(keyword, F.filter(_found(text, ASSIGN), lambda x: F.length(value(x["m"])) >= ASSIGN_VALUE)).otherwise(none),
+        own["access"]: F.when(text.contains("AKIA"), _found(text, ACCESS)).otherwise(none),
+        own["hex"]: F.when(text.rlike(HEX), _found(text, HEX)).otherwise(none),
+        own["token"]: F.when(text.rlike(TOKEN), _found(text, TOKEN)).otherwise(none),
     })
     span = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))
-    base = F.concat(*[F.transform(f"f_{k}", span(k)) for k in KINDS[:3]])
-    step = step.withColumn("base_", F.sort_array(base))
-    alone = F.filter("f_token", lambda x: ~F.exists("base_", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    step = step.withColumn("f_token", alone)
-    markov = F.when(F.size("f_token") > 0, F.filter("f_token", lambda x: _llr(x["m"], table) >= threshold)).otherwise(none)
-    return step.withColumn("spans_", F.sort_array(F.concat("base_", F.transform(markov, span("markov"))))).drop("f_assign", "f_access", "f_hex", "f_token")
+    step = step.withColumn(own["base"], F.sort_array(F.concat(*[F.transform(own[k], span(k)) for k in KINDS[:3]])))
+    alone = F.filter(own["token"], lambda x: ~F.exists(own["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    step = step.withColumn(own["token"], alone)
+    markov = F.when(F.size(own["token"]) > 0, F.filter(own["token"], lambda x: _llr(x["m"], table) >= threshold)).otherwise(none)
+    step = step.withColumn(own["spans"], F.sort_array(F.concat(own["base"], F.transform(markov, span("markov")))))
+    return step.drop(*[own[k] for k in (*KINDS[:3], "token")]), own["base"], own["spans"]
 
 
 def _joined(spans):
@@ -133,18 +150,18 @@ def _joined(spans):
 
 
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    found = find_spans(docs.select(key, "text"))
-    count = lambda k: F.size(F.filter("base_", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select(key, *[count(k) for k in KINDS[:3]], F.sha2(_joined(F.col("base_")), 256).alias("base_sha256"), _joined(F.col("spans_")).alias("spans"))
+    found, base, spans = find_spans(docs.select(key, "text"))
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(key, *[count(k) for k in KINDS[:3]], F.sha2(_joined(F.col(base)), 256).alias("base_sha256"), _joined(F.col(spans)).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every span replaced by ``mark`` (overlapping spans by one);
     ``n_chars``, where it is a column, follows the text."""
-    found = find_spans(docs)
+    found, _, spans = find_spans(docs)
     text = F.col("text")
     walk = F.aggregate(
-        "spans_",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -152,11 +169,11 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    out = found.withColumn("text", F.when(F.size("spans_") > 0, walk).otherwise(text))
+    out = found.withColumn("text", F.when(F.size(spans) > 0, walk).otherwise(text))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("spans_") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
