@@ -86,37 +86,43 @@ def train(sample: list[tuple[str, int]]) -> list[float]:
 #: Matches that one walk over a text's matches appends to; longer lists are walked in parts.
 PART = 256
 
+# Expressions are SQL text: a Column of as many calls takes seconds to build.
+_TEXT = "coalesce(text, '')"
+_NONE = "cast(array() AS array<struct<start:int,`end`:int,m:string>>)"
 
-def _found(text, pattern: str):
-    """Matches of a pattern as structs (start, end, m) in code points."""
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def walk(part, at):
-        """The matches of a part that begins at a position."""
-        span = lambda acc, x: F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m"))
-        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(span(acc, x))).alias("out"))
-        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def parts(rows):
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PART).cast("int")), lambda i: F.slice(rows, i * PART + 1, PART))
-        return F.when(F.size(rows) <= PART, walk(rows, F.lit(0))).otherwise(common.let(cut, joined))
 
-    def joined(cut):
-        sizes = F.transform(cut, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x["gap"] + F.length(x["m"])))
-        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-        return F.flatten(F.zip_with(cut, F.slice(begins, 1, F.size(cut)), walk))
+def _let(value: str, name: str, body: str) -> str:
+    """The body with the name bound to the value, evaluated once a row."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    rows = common.let(matches, lambda m: F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(m)), F.length).alias("gap"), m.alias("m")))
-    return common.let(rows, parts)
 
+def _walk(part: str, at: str) -> str:
+    """The matches of a part (gap before, match) that begins at a position."""
+    start, end = "acc.at + x.gap", "acc.at + x.gap + length(x.m)"
+    return f"aggregate({part}, struct({at} AS at, {_NONE} AS out), (acc, x) -> struct({end} AS at, concat(acc.out, array(struct({start} AS start, {end} AS `end`, x.m AS m))) AS out), acc -> acc.out)"
 
-def _llr(token, table: list[float]):
+
+def _found(pattern: str) -> str:
+    """Matches of a pattern in the text as structs (start, end, m) in code points."""
+    quoted = _quoted(pattern)
+    rows = _let(f"regexp_extract_all({_TEXT}, {quoted}, 0)", "m", f"transform(slice(split({_TEXT}, {quoted}, -1), 1, size(m)), (g, i) -> struct(length(g) AS gap, m[i] AS m))")
+    cut = f"transform(sequence(0, cast(floor((size(r) - 1) / {PART}) AS int)), i -> slice(r, i * {PART} + 1, {PART}))"
+    sizes = "transform(c, q -> aggregate(q, 0, (acc, x) -> acc + x.gap + length(x.m)))"
+    begins = f"aggregate({sizes}, array(0), (acc, n) -> concat(acc, array(element_at(acc, -1) + n)))"
+    joined = f"flatten(zip_with(c, slice({begins}, 1, size(c)), (q, at) -> {_walk('q', 'at')}))"
+    return _let(rows, "r", f"CASE WHEN size(r) <= {PART} THEN {_walk('r', '0')} ELSE {_let(cut, 'c', joined)} END")
+
+
+def _llr(token: str, table: list[float]) -> str:
     """Mean log-likelihood ratio a transition; the table becomes one literal."""
-    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    total = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(ratios, F.element_at(c, i) * WIDTH + F.element_at(c, i + 1) + 1))
-    return common.let(F.filter(codes, lambda c: c >= 0), total) / (F.length(token) - 1)
+    ratio = f"element_at(cast(split('{','.join(map(str, table))}', ',') AS array<double>), element_at(c, i) * {WIDTH} + element_at(c, i + 1) + 1)"
+    codes = f"filter(transform(split({token}, ''), k -> instr('{ALPHABET}', k) - 1), k -> k >= 0)"
+    total = f"aggregate(sequence(1, size(c) - 1), 0D, (acc, i) -> acc + {ratio})"
+    return f"{_let(codes, 'c', total)} / (length({token}) - 1)"
 
 
 def find_spans(docs: DataFrame, sample: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> tuple[DataFrame, str, str]:
@@ -124,24 +130,21 @@ def find_spans(docs: DataFrame, sample: list[tuple[str, int]] | None = None, thr
     sorted, and the names of these: the patterns' spans, and all spans."""
     common.prepare(docs.sparkSession)
     table = train(sample or default_sample())
-    text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    lower = F.lower(text)
-    keyword = lower.contains("passw") | lower.contains("secret") | lower.contains("token") | lower.contains("apikey") | lower.contains("api_key")
-    value = lambda m: F.regexp_extract(m, ASSIGN, 2)
     own = {k: common.unused(docs, f"found_{k}") for k in (*KINDS[:3], "token", "base", "spans")}
+    keyword = " OR ".join(f"contains(lower({_TEXT}), '{w}')" for w in ("passw", "secret", "token", "apikey", "api_key"))
+    when = lambda test, value: F.expr(f"CASE WHEN {test} THEN {value} ELSE {_NONE} END")
+    span = lambda kind, found: f"transform({found}, x -> struct(x.start AS start, {KINDS.index(kind)} AS rank, x.`end` AS `end`, '{kind}' AS kind))"
+    alone = f"filter({own['token']}, x -> NOT exists({own['base']}, b -> b.start < x.`end` AND x.start < b.`end`))"
+    markov = f"CASE WHEN size({own['token']}) > 0 THEN filter({own['token']}, x -> {_llr('x.m', table)} >= {threshold}D) ELSE {_NONE} END"
     step = docs.withColumns({
-        own["assign"]: F.when(keyword, F.filter(_found(text, ASSIGN), lambda x: F.length(value(x["m"])) >= ASSIGN_VALUE)).otherwise(none),
-        own["access"]: F.when(text.contains("AKIA"), _found(text, ACCESS)).otherwise(none),
-        own["hex"]: F.when(text.rlike(HEX), _found(text, HEX)).otherwise(none),
-        own["token"]: F.when(text.rlike(TOKEN), _found(text, TOKEN)).otherwise(none),
+        own["assign"]: when(keyword, f"filter({_found(ASSIGN)}, x -> length(regexp_extract(x.m, {_quoted(ASSIGN)}, 2)) >= {ASSIGN_VALUE})"),
+        own["access"]: when(f"contains({_TEXT}, 'AKIA')", _found(ACCESS)),
+        own["hex"]: when(f"{_TEXT} RLIKE {_quoted(HEX)}", _found(HEX)),
+        own["token"]: when(f"{_TEXT} RLIKE {_quoted(TOKEN)}", _found(TOKEN)),
     })
-    span = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))
-    step = step.withColumn(own["base"], F.sort_array(F.concat(*[F.transform(own[k], span(k)) for k in KINDS[:3]])))
-    alone = F.filter(own["token"], lambda x: ~F.exists(own["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    step = step.withColumn(own["token"], alone)
-    markov = F.when(F.size(own["token"]) > 0, F.filter(own["token"], lambda x: _llr(x["m"], table) >= threshold)).otherwise(none)
-    step = step.withColumn(own["spans"], F.sort_array(F.concat(own["base"], F.transform(markov, span("markov")))))
+    step = step.withColumn(own["base"], F.expr(f"sort_array(concat({', '.join(span(k, own[k]) for k in KINDS[:3])}))"))
+    step = step.withColumn(own["token"], F.expr(alone))
+    step = step.withColumn(own["spans"], F.expr(f"sort_array(concat({own['base']}, {span('markov', markov)}))"))
     return step.drop(*[own[k] for k in (*KINDS[:3], "token")]), own["base"], own["spans"]
 
 
