@@ -13,6 +13,8 @@ import os
 import re
 import unicodedata
 
+from arraylume.llm import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LIMIT = 0x530  # the pattern below knows the code points before this one and U+2000-U+206F
@@ -129,3 +131,11 @@ def splits(text: str, special):
     if special is None or special.search(text) is None:
         return [(False, text)]
     return [(i % 2 == 1, x) for i, x in enumerate(special.split(text)) if x]
+
+
+def _drop() -> None:
+    for kept in (CACHES, _MODELS, _LOADED):
+        kept.clear()
+
+
+common.KEPT["bpe"] = _drop

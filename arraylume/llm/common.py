@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from pathlib import Path
@@ -67,6 +68,26 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+#: What workers keep between tasks, by operator: functions that drop it.
+KEPT: dict[str, object] = {}
+
+
+def begin(operator: str) -> None:
+    """A worker that starts on an operator drops what others keep in it, so that it
+    never holds more than one operator's caches."""
+    for name, drop in KEPT.items():
+        if name != operator:
+            drop()
+
+
+def end() -> None:
+    """Give memory that a task has freed back to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: Bits of a membership filter: 16 a value, but never more than this (16 MB to
 #: broadcast). With more values than that the filter lets more rows pass, and the
 #: exact join that follows it does the rest.

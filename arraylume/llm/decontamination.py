@@ -136,6 +136,7 @@ def scan(docs: DataFrame, index, key: str = "doc_id", share: int = SHARE) -> Dat
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        common.begin("decontamination")
         matcher = index.value
         for batch in batches:
             n_words, n_hit, n_items, digest = [], [], [], []
@@ -171,6 +172,7 @@ def decontaminate(docs: DataFrame, index, share: int = SHARE, drop: bool = True)
     at = schema.fieldNames().index("text")
 
     def run(batches):
+        common.begin("decontamination")
         matcher = index.value
         for batch in batches:
             keep, changed = [], {}

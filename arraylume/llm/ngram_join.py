@@ -313,6 +313,7 @@ def _sets(docs: DataFrame, key: str, width: int) -> DataFrame:
     empty set), size and, on the first row of a set in a partition, fine groups."""
 
     def run(batches):
+        common.begin("ngram_join")
         seen, row = set(), TaskContext.get().partitionId() << 40
         for batch in batches:
             sid, h, n, groups = [], [], [], []
@@ -328,6 +329,7 @@ def _sets(docs: DataFrame, key: str, width: int) -> DataFrame:
             row += len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows, pa.array(sid, pa.binary()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(groups, pa.binary())], names=["id", "t", "row", "sid", "h", "n", "fine"])
         _HASHES.clear()  # idle workers shall be small
+        common.end()
 
     read = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
     return read.mapInArrow(run, "id long, t long, row long, sid binary, h long, n long, fine binary")
@@ -337,6 +339,7 @@ def _keys(sets: DataFrame, percent: int) -> DataFrame:
     """(key, h) rows of the block keys of (h, fine)."""
 
     def run(batches):
+        common.begin("ngram_join")
         bands = Bands(percent)
         for batch in batches:
             found = [bands.keys(np.frombuffer(x, np.uint32)) for x in batch.column(1).to_pylist()]
@@ -345,6 +348,7 @@ def _keys(sets: DataFrame, percent: int) -> DataFrame:
                 h = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), list(map(len, found)))
                 for i in range(0, len(keys), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(h[i : i + 100_000])], names=["key", "h"])
+        common.end()
 
     return sets.select("h", "fine").mapInArrow(run, "key long, h long")
 
@@ -426,6 +430,8 @@ def _search(dealt: DataFrame, parts: int, percent: int, every: bool) -> DataFram
                     out = []
             yield batch_of(out)
         yield batch_of(close())
+        held.clear()
+        common.end()
 
     rows = dealt.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk")
     return rows.mapInArrow(run, "key long, a long, b long")
@@ -437,6 +443,7 @@ def _items(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
     bits, chosen = common.membership(names, "t")
 
     def run(batches):
+        common.begin("ngram_join")
         seen = set()
         for batch in batches:
             batch = batch.filter(pa.array(common.members(chosen.value, batch.column(1).to_numpy(zero_copy_only=False))))
@@ -450,6 +457,7 @@ def _items(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
                     items.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(items, pa.binary())], names=["sid", "items"])
         _HASHES.clear()
+        common.end()
 
     read = docs.select("text", common.slot(F.xxhash64("text"), bits).alias("slot"))
     return read.mapInArrow(run, "sid binary, items binary").join(names.select("node", "sid"), "sid").dropDuplicates(["node"]).select("node", "items")
@@ -503,11 +511,13 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, width: int, percent
         return pairs
 
     for n in range(1, FORESTS + 2):
-        placed = todo.join(sketches, "h").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # Components first, on the few sketches and not on their many places.
+        named = sketches.withColumn("component", F.col("node")) if n == 1 else sketches.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = todo.join(named, "h")
         dealt = _dealt(placed, n == 1)
         chunks = todo.select("key", "c").distinct()
         told = refused.join(chunks, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"), F.lit(2).alias("side"), F.col("a").alias("node"), F.col("b").alias("component"), F.lit(None).cast("binary").alias("sketch"))
-        emitted = common.stage(_search(dealt.unionByName(told), parts, percent, n > FORESTS))
+        emitted = common.stage(_search(dealt if n == 1 else dealt.unionByName(told), parts, percent, n > FORESTS))
         if n == 1:
             common.release(spark)  # the exchange of all blocks
         pairs = common.stage(emitted.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))

@@ -104,6 +104,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id"
     names = [key, *(x.split()[0] for x in OUTPUT.split(", "))]
 
     def run(batches):
+        common.begin("bpe")
         known = bpe.cache(path, "ids", ids_bytes)
         special, ids = bpe.specials(path)
         closing = ids_bytes([CLOSING])

@@ -130,17 +130,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", max_rows: int
     total = usable.count()
     if total > max_rows:
         usable = usable.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * 0.95 * max_rows / total))
-    # A filter leaves the texts that are to be fitted; only those are shuffled.
+    # A filter leaves the texts that are to be fitted; only their statistics move.
     usable = usable.withColumn(key, F.col(key).cast("long"))
-    rows = common.sift(docs.select(F.col(key).cast("long").alias(key), "text"), F.col(key), *common.membership(usable, key)).join(usable, key)
-    schema = rows.schema
+    bits, chosen = common.membership(usable, key)
 
     def run(batches):
+        common.begin("quality_classifier")
         for batch in batches:
-            data = [np.array(statistics(d)).tobytes() for d in common.utf8(batch.column(schema.fieldNames().index("text")))]
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), batch.column(schema.fieldNames().index("y")).cast(pa.int32())], names=["x", "y"])
+            batch = batch.filter(pa.array(common.members(chosen.value, batch.column(2).to_numpy(zero_copy_only=False))))
+            data = [np.array(statistics(d)).tobytes() for d in common.utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=[key, "x"])
 
-    found = rows.mapInArrow(run, "x binary, y int").collect()
+    own = F.col(key).cast("long")
+    read = docs.where(own.isNotNull()).select(own.alias(key), "text", common.slot(own, bits).alias("slot"))
+    found = read.mapInArrow(run, f"`{key}` long, x binary").join(usable, key).select("x", "y").collect()
     x = np.array([np.frombuffer(r[0]) for r in found]).reshape(-1, FEATURES)
     return fit(x, np.array([r[1] for r in found], int))
 
@@ -156,6 +159,7 @@ def keep_good(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
     at = docs.schema.fieldNames().index("text")
 
     def run(batches):
+        common.begin("quality_classifier")
         for batch in batches:
             x = np.array([statistics(d) for d in common.utf8(batch.column(at))]).reshape(-1, FEATURES)
             yield batch.filter(pa.array(model.value.score(x) >= least, pa.bool_()))

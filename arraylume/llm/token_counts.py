@@ -56,6 +56,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        common.begin("bpe")
         lengths = bpe.cache(path, "length", len, table.value)
         special, _ = bpe.specials(path)
         for batch in batches:
