@@ -14,11 +14,13 @@ D fixed by a band of sizes; cut into more than D groups, they agree on whole gro
 share a block, and blocks lose no pair. Blocks of the same members are one.
 
 Every block gets an R-tree of its points. Each member searches it for members of
-other components; a hit that the finer bound of the sketches confirms is emitted
-and taken for a link at once, so that a block emits fewer pairs than it has members
-(a spanning forest), however many of its pairs are within the threshold. The pairs
-are verified on the sets. Where one is refused, its blocks are searched again, with
-the components known by then and without the refused pairs; after ``FORESTS``
+other components; a hit whose finer bound, by the sketches, exceeds the need by more
+than chance explains is emitted and taken for a link at once, so that a block emits
+fewer such pairs than it has members (a spanning forest), however many of its pairs
+are within the threshold. Pairs with a bound close to the need are emitted where
+their components are still different in the end. The pairs are verified on the
+sets. Where one that was taken for a link is refused, its blocks are searched again,
+with the components known by then and without the refused pairs; after ``FORESTS``
 such rounds the remaining blocks emit every pair that the bounds allow.
 
 Blocks beyond CHUNK members are cut into chunks, each with a tree of its own. The
@@ -272,11 +274,20 @@ class CountTree:
         return found
 
 
-def block_pairs(side: list[int], component: list[int], raw: list[bytes], percent: int, refused: set, every: bool = False) -> list[tuple[int, int]]:
-    """Pairs of a block's rows that the bounds allow, each joined at once, so that
-    they are a forest over the components; with ``every``, all such pairs of
-    different components. Rows of side 1 are queries only; ``refused`` holds pairs
-    (smaller row first) that are no links."""
+def margin(a: int, b: int, percent: int, groups: int) -> int:
+    """What chance may add to a bound over so many groups, for sets of a and b
+    shingles that just miss the need: their other shingles' shared groups."""
+    need = needed(a, b, percent)
+    chance = max(a - need, 0) * max(b - need, 0) / groups
+    return int(chance + 4 * chance**0.5 + 2)
+
+
+def block_pairs(side: list[int], component: list[int], raw: list[bytes], percent: int, refused: set, every: bool = False) -> list[tuple[int, int, bool]]:
+    """Pairs of a block's rows that the bounds allow. Where the bound exceeds the
+    need by the margin, the pair is sure and joined at once, so that sure pairs are a
+    forest over the components; the other pairs follow, between components that are
+    still different. With ``every``, all pairs of different components. Rows of side
+    1 are queries only; ``refused`` holds pairs (smaller row first) that are no links."""
     sketches = [Sketch(x) for x in raw]
     points = np.array([x.point for x in sketches])
     totals, side = points.sum(axis=1), np.array(side)
@@ -286,20 +297,26 @@ def block_pairs(side: list[int], component: list[int], raw: list[bytes], percent
         return []
     tree = CountTree(points[first], totals[first])
     inside = component[first]
-    out, tried = [], set(refused)
+    out, doubtful, tried = [], [], set(refused)
     for row in range(len(raw)):
+        own = sketches[row]
         for hit in first[tree.search(points[row], int(totals[row]), int(component[row]), inside, percent)].tolist():
             pair = (row, hit) if row < hit else (hit, row)
             if component[hit] == component[row] or pair in tried:
                 continue
             tried.add(pair)
-            if sketch_bound(sketches[row], sketches[hit]) < needed(int(totals[row]), int(totals[hit]), percent):
+            sizes = int(totals[row]), int(totals[hit])
+            more = sketch_bound(own, sketches[hit]) - needed(*sizes, percent)
+            if more < 0:
+                continue
+            small = own.groups is not None and sketches[hit].groups is not None
+            if every or more < margin(*sizes, percent, 1 << 14 if small else SKETCH_GROUPS):
+                doubtful.append(pair)
                 continue
-            out.append(pair)
-            if not every:
-                component[component == component[hit]] = component[row]
-                inside = component[first]
-    return out
+            out.append((*pair, True))
+            component[component == component[hit]] = component[row]
+            inside = component[first]
+    return out + [(*pair, False) for pair in doubtful if component[pair[0]] != component[pair[1]]]
 
 
 def _identity(s: np.ndarray) -> tuple[bytes, int]:
@@ -399,7 +416,7 @@ def _dealt(placed: DataFrame, first: bool) -> DataFrame:
 
 
 def _search(dealt: DataFrame, parts: int, percent: int, every: bool) -> DataFrame:
-    """Pairs (key, a, b), a < b, of the blocks' rows. Rows of side 2 are refused pairs
+    """Pairs (key, a, b, sure), a < b, of the blocks' rows. Rows of side 2 are refused pairs
     (node, component)."""
 
     def run(batches):
@@ -413,10 +430,10 @@ def _search(dealt: DataFrame, parts: int, percent: int, every: bool) -> DataFram
             side, node, component, raw = zip(*rows)
             at = {x: i for i, x in enumerate(node)}
             refused = {(at[r[1]], at[r[2]]) for r in held if r[0] == 2 and r[1] in at and r[2] in at}
-            return [(current[0], node[i], node[j]) for i, j in block_pairs(side, component, raw, percent, refused, every)]
+            return [(current[0], node[i], node[j], sure) for i, j, sure in block_pairs(side, component, raw, percent, refused, every)]
 
         def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["key", "a", "b"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], pa.int64()) for i in range(3)), pa.array([x[3] for x in found], pa.bool_())], names=["key", "a", "b", "sure"])
 
         for batch in batches:
             out = []
@@ -434,7 +451,7 @@ def _search(dealt: DataFrame, parts: int, percent: int, every: bool) -> DataFram
         common.end()
 
     rows = dealt.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk")
-    return rows.mapInArrow(run, "key long, a long, b long")
+    return rows.mapInArrow(run, "key long, a long, b long, sure boolean")
 
 
 def _items(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
@@ -518,8 +535,7 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, width: int, percent
         chunks = todo.select("key", "c").distinct()
         told = refused.join(chunks, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"), F.lit(2).alias("side"), F.col("a").alias("node"), F.col("b").alias("component"), F.lit(None).cast("binary").alias("sketch"))
         emitted = common.stage(_search(dealt if n == 1 else dealt.unionByName(told), parts, percent, n > FORESTS))
-        if n == 1:
-            common.release(spark)  # the exchange of all blocks
+        common.release(spark)  # the exchange of the blocks
         pairs = common.stage(emitted.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         # A node's least partner first: most of the other pairs are within a component then.
         lot = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -535,7 +551,7 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, width: int, percent
             tested = common.stage(tested.union(lot.join(good, ["a", "b"], "left").select("a", "b", F.coalesce("ok", F.lit(False)))))
             known = common.stage(components(tested.where("ok").select("a", "b")))
         # A refused pair matters where its block took it for a link that isn't there.
-        wrong = home(emitted.join(tested.where("NOT ok").select("a", "b"), ["a", "b"])).where("ca <> cb").select("key", "a", "b")
+        wrong = home(emitted.where("sure").join(tested.where("NOT ok").select("a", "b"), ["a", "b"])).where("ca <> cb").select("key", "a", "b")
         refused = common.stage(refused.union(wrong))
         again = wrong.select("key").union(blocks.where("c > 1").select("key")) if n == 1 else wrong.select("key")
         todo = common.stage(blocks.join(again.distinct(), "key"))

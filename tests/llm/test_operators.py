@@ -406,7 +406,10 @@ def test_a_block_emits_a_forest():
     raw = [ngram_join.sketch(ngram_join.fine(s)) for s in sets]
     found = ngram_join.block_pairs([0] * len(raw), list(range(len(raw))), raw, 90, set())
     assert len(found) == 1999 + 29
-    assert {(a < 2000, a < 2030) for a, b in found} == {(True, True), (False, True)} and all((a < 2000) == (b < 2000) and a < b < 2030 for a, b in found)
+    assert {(a < 2000, a < 2030) for a, b, _ in found} == {(True, True), (False, True)} and all(sure and (a < 2000) == (b < 2000) and a < b < 2030 for a, b, sure in found)
+    # Close to the need nothing is taken for a link: 19 of 20 shingles are needed.
+    close = [np.arange(20, dtype=np.uint64) * np.uint64(1 << 59), np.arange(1, 21, dtype=np.uint64) * np.uint64(1 << 59) - np.uint64(0)]
+    assert ngram_join.block_pairs([0, 0], [0, 1], [ngram_join.sketch(ngram_join.fine(x)) for x in close], 90, set()) == [(0, 1, False)]
     # Known components, refused pairs and queries from other chunks.
     some = list(range(2000, 2030))
     few = [raw[i] for i in some]
@@ -415,9 +418,9 @@ def test_a_block_emits_a_forest():
     assert ngram_join.block_pairs([0] * 30, [5] * 30, few, 90, set()) == []
     assert len(ngram_join.block_pairs([0] * 30, [5] * 10 + [6] * 20, few, 90, set())) == 1
     assert len(ngram_join.block_pairs([0] * 30, [5] * 10 + [6] * 20, few, 90, {(0, j) for j in range(10, 30)})) == 1
-    assert ngram_join.block_pairs([0] * 30, some, few, 90, set(every)) == []
+    assert ngram_join.block_pairs([0] * 30, some, few, 90, {x[:2] for x in every}) == []
     assert ngram_join.block_pairs([1] * 30, some, few, 90, set()) == []
-    assert all(a < 10 or b < 10 for a, b in ngram_join.block_pairs([0] * 10 + [1] * 20, some, few, 90, set()))
+    assert all(a < 10 or b < 10 for a, b, _ in ngram_join.block_pairs([0] * 10 + [1] * 20, some, few, 90, set()))
 
 
 def test_components(spark):
