@@ -60,10 +60,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's table goes when the next one is written;
+    the last stays, as the result reads it."""
     docs = common.read(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for n, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}-{name}")
-        docs = spark.read.parquet(f"{folder}/{n}-{name}")
+        at = f"{folder}/{n}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            _remove(spark, before)
+        before = at
     return docs
