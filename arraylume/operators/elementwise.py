@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arraylume.functions import ieee
 from arraylume.operators import reduce as reductions
-from arraylume.operators.series import neighbours
+from arraylume.operators.series import attach, last_block, neighbours
 
 TINY = 1e-30
 
@@ -23,10 +23,11 @@ def threshold(value: Column, t: float, kind: str = "float") -> Column:
 
 def normalize(df: DataFrame, kind: str = "float") -> DataFrame:
     """(value - min) / (max - min) of the series; 0 for a range of 1e-30 or less,
-    all NaN where a NaN occurs. The extremes come by a join on the series, so one
+    all NaN where a NaN occurs. The extremes come to each block of a series, so one
     long series stays spread."""
-    box = reductions.min_max(df, kind).withColumn("spread", F.col("maximum") - F.col("minimum"))
-    joined = df.join(box, "series_id")
+    ends = [reductions.aggregate(f, F.col("value"), kind).alias(n) for f, n in (("min", "minimum"), ("max", "maximum"))]
+    box = df.groupBy("series_id").agg(*ends, last_block()).withColumn("spread", F.col("maximum") - F.col("minimum"))
+    joined = attach(df, box)
     value = F.when(F.isnan("spread"), F.lit(ieee.NAN)).when(F.col("spread") <= TINY, F.lit(0.0)).otherwise(ieee.divide(F.col("value") - F.col("minimum"), F.col("spread"), kind))
     return joined.select("series_id", "idx", value.cast(kind).alias("value"))
 

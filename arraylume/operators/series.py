@@ -56,8 +56,28 @@ def with_halo(df: DataFrame, before: int, after: int, block: int = BLOCK) -> Dat
 
 
 def neighbours(df: DataFrame, offsets: dict[str, int], block: int = BLOCK) -> DataFrame:
-    """Adds, by name, the value at ``idx + offset`` of the series (null outside)."""
+    """Adds, by name, the value at ``idx + offset`` of the series (null where the
+    series has no element of that idx)."""
     before, after = max(0, -min(offsets.values())), max(0, *offsets.values())
     w = Window.partitionBy("series_id", "block").orderBy("idx")
-    shifted = with_halo(df, before, after, block).select("*", *[F.lag("value", -o).over(w).alias(n) if o < 0 else F.lead("value", o).over(w).alias(n) for n, o in offsets.items()])
+    # A row that far away is the neighbour only if its idx says so: an idx may be missing.
+    near = lambda o: F.when(F.lead("idx", o).over(w) == F.col("idx") + o, F.lead("value", o).over(w))
+    shifted = with_halo(df, before, after, block).select("*", *[near(o).alias(n) for n, o in offsets.items()])
     return shifted.where("own").drop("own", "block")
+
+
+def last_block(block: int = BLOCK) -> Column:
+    """Aggregate: the number of a series' last block, for ``attach``."""
+    return F.max(_block(block)).alias("last_block")
+
+
+def _block(block: int) -> Column:
+    return F.greatest(F.lit(0), F.floor(F.coalesce(F.col("idx"), F.lit(0)) / block))
+
+
+def attach(df: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The elements with the row of their series. ``rows`` has one row a series, with
+    its ``last_block``, and is repeated for each block, so that the elements of one
+    long series meet it in many tasks."""
+    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "last_block"))).drop("last_block")
+    return df.withColumn("block", _block(block)).join(spread, ["series_id", "block"]).drop("block")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arraylume.functions import ieee
 from arraylume.operators import statistics
-from arraylume.operators.series import neighbours
+from arraylume.operators.series import attach, last_block, neighbours
 
 #: Taper -> cosine terms: a0 - a1 cos t + a2 cos 2t.
 TAPERS = {"hann": (0.5, 0.5, 0.0), "hamming": (0.54, 0.46, 0.0), "blackman": (0.42, 0.5, 0.08)}
@@ -26,8 +26,8 @@ def taper(idx: Column, length: Column, window: str) -> Column:
 def apply_window(df: DataFrame, window: str, kind: str = "double") -> DataFrame:
     if window not in TAPERS:
         raise ValueError(f"window {window!r} is none of {', '.join(TAPERS)}")
-    lengths = df.groupBy("series_id").agg(F.count("*").alias("length"))
-    return df.join(lengths, "series_id").select("series_id", "idx", (F.col("value").cast("double") * taper(F.col("idx"), F.col("length"), window)).cast(kind).alias("value"))
+    lengths = df.groupBy("series_id").agg(F.count("*").alias("length"), last_block())
+    return attach(df, lengths).select("series_id", "idx", (F.col("value").cast("double") * taper(F.col("idx"), F.col("length"), window)).cast(kind).alias("value"))
 
 
 def find_peaks(df: DataFrame, minimum: float = -math.inf, distance: int = 1) -> DataFrame:
@@ -75,8 +75,8 @@ def convolve1d(df: DataFrame, kernel: list[float], boundary: str = "clamp", kind
     r = len(kernel) // 2
     near = neighbours(df, {f"n{k}": k - r for k in range(len(kernel)) if k != r}) if r else df
     if boundary == "clamp" and r:
-        ends = df.groupBy("series_id").agg(F.min_by("value", "idx").alias("first"), F.max_by("value", "idx").alias("last"))
-        near = near.join(ends, "series_id")
+        ends = df.groupBy("series_id").agg(F.min_by("value", "idx").alias("first"), F.max_by("value", "idx").alias("last"), last_block())
+        near = attach(near, ends)
     fill = lambda k: F.lit(0.0) if boundary == "zero" else F.col("first" if k < r else "last")
     terms = [F.lit(w) * (F.col("value") if k == r else F.coalesce(F.col(f"n{k}"), fill(k))).cast("double") for k, w in enumerate(kernel)]
     total = terms[0]

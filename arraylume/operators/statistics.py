@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arraylume.operators.series import neighbours
+from arraylume.operators.series import BLOCK, neighbours
 
 TINY = 1e-30
 
@@ -76,10 +76,16 @@ def accumulated_correlation(x: Column, y: Column) -> Column:
 
 
 def autocorrelation(df: DataFrame, lag: int) -> DataFrame:
-    """Correlation of each series with itself ``lag`` elements on."""
+    """Correlation of each series with itself ``lag`` elements on. Beyond the size of
+    a block the series is joined with itself on (series_id, idx)."""
     if lag < 0:
         raise ValueError("lag must not be negative")
-    pairs = neighbours(df, {"later": lag}) if lag else df.withColumn("later", F.col("value"))
+    if lag == 0:
+        pairs = df.withColumn("later", F.col("value"))
+    elif lag < BLOCK:
+        pairs = neighbours(df, {"later": lag})
+    else:
+        pairs = df.join(df.select("series_id", (F.col("idx") - lag).alias("idx"), F.col("value").alias("later")), ["series_id", "idx"], "left")
     checked = F.when(F.count("*") > lag, correlation(F.col("value"), F.col("later"))).otherwise(F.raise_error(F.lit("lag exceeds the series")).cast("double"))
     return pairs.groupBy("series_id").agg(checked.alias("value"))
 

@@ -296,7 +296,12 @@ def find_peaks(spark, sf):
     return signal.find_peaks(_per_user(spark, sf), 20.0).withColumnRenamed("series_id", "user_id")
 
 
-@add("find_peaks_distance")
+@add("find_peaks_distance", f"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT user_id, idx, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, idx) AS r FROM {_NEAR} WHERE value > b AND value >= a),
+ go(user_id, r, taken) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[] FROM p
+  UNION ALL SELECT p.user_id, p.r, CASE WHEN len([t FOR t IN taken IF abs(t - p.idx) < 5]) > 0 THEN taken ELSE list_append(taken, p.idx) END FROM go JOIN p ON p.user_id = go.user_id AND p.r = go.r + 1),
+ kept AS (SELECT user_id, unnest(arg_max(taken, r)) AS idx FROM go GROUP BY user_id)
+SELECT user_id, idx, value FROM kept JOIN p USING (user_id, idx)""")
 def find_peaks_distance(spark, sf):
     return signal.find_peaks(_per_user(spark, sf), distance=5).withColumnRenamed("series_id", "user_id")
 
@@ -341,10 +346,12 @@ def fft_power(spark, sf):
     return _spread(fourier.fft(_complex(spark, sf), ["vec_id"]), "re", "im").select("vec_id", "k", F.round(signal.power_spectrum(z["re"], z["im"]), 5).alias("power"), F.round(signal.magnitude_spectrum(z["re"], z["im"]), 5).alias("magnitude"))
 
 
-@add("fft_phase", _DFT + "SELECT vec_id, k::INTEGER AS k, round(atan2(im, re), 4) AS phase FROM f WHERE k BETWEEN 1 AND 31")
+@add("fft_phase", _DFT + "SELECT vec_id, k::INTEGER AS k, CASE WHEN k % 32 = 0 THEN abs(round(atan2(im, re), 4)) ELSE round(atan2(im, re), 4) END AS phase FROM f")
 def fft_phase(spark, sf):
     z = F.col("z")
-    return _spread(fourier.fft(_complex(spark, sf), ["vec_id"]), "re", "im").where("k BETWEEN 1 AND 31").select("vec_id", "k", F.round(signal.phase_spectrum(z["re"], z["im"]), 4).alias("phase"))
+    phase = F.round(signal.phase_spectrum(z["re"], z["im"]), 4)
+    # Bins 0 and 32 of real input are real; the sign of a zero tells pi from -pi there.
+    return _spread(fourier.fft(_complex(spark, sf), ["vec_id"]), "re", "im").select("vec_id", "k", F.when(F.col("k") % 32 == 0, F.abs(phase)).otherwise(phase).alias("phase"))
 
 
 @add("inverse_fft", "SELECT vec_id, (i - 1)::INTEGER AS k, round(embedding[i]::DOUBLE, 6) AS re FROM embeddings, range(1, 65) AS r(i)")

@@ -194,9 +194,10 @@ def image_parity_means(spark, sf):
     return ops.parity_means(_grey(spark, sf)).select("image_id", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in range(4)])
 
 
-@add("image_parity_samples", f"WITH {_PX} SELECT image_id, ((y // 2) * 4 + x // 2)::INTEGER AS i, round(v, 6) AS p1 FROM px WHERE y % 2 = 0 AND x % 2 = 1")
+@add("image_parity_samples", f"WITH {_PX} SELECT image_id, (2 * (y % 2) + x % 2)::INTEGER AS parity, ((y // 2) * 4 + x // 2)::INTEGER AS i, round(v, 6) AS value FROM px")
 def image_parity_samples(spark, sf):
-    return ops.parity_samples(_grey(spark, sf)).select("image_id", F.posexplode("p1").alias("i", "v")).select("image_id", "i", F.round("v", 6).alias("p1"))
+    groups = ops.parity_samples(_grey(spark, sf)).select("image_id", F.posexplode(F.array("p0", "p1", "p2", "p3")).alias("parity", "group"))
+    return groups.select("image_id", "parity", F.posexplode("group").alias("i", "v")).select("image_id", "parity", "i", F.round("v", 6).alias("value"))
 
 
 @add("image_row", f"WITH {_PX} SELECT image_id, x, round(v, 6) AS value FROM px WHERE y = 3")
@@ -213,11 +214,11 @@ def image_rgb_correlations(spark, sf):
 
 
 @add("image_cfa_parity_residuals", f"""WITH {_PX}, {_RGB},
- n AS (SELECT p.image_id, 2 * (p.y % 2) + p.x % 2 AS parity, abs(p.b - (l.b + r.b + u.b) / 3) AS d FROM rgb p JOIN rgb l ON l.image_id = p.image_id AND l.y = p.y AND l.x = greatest(0, p.x - 1) JOIN rgb r ON r.image_id = p.image_id AND r.y = p.y AND r.x = least(7, p.x + 1) JOIN rgb u ON u.image_id = p.image_id AND u.x = p.x AND u.y = greatest(0, p.y - 1))
-SELECT image_id, parity::INTEGER AS parity, round(avg(d), 6) AS blue FROM n GROUP BY image_id, parity""")
+ n AS (SELECT p.image_id, 2 * (p.y % 2) + p.x % 2 AS parity, abs(p.r - (l.r + r.r + u.r) / 3) AS dr, abs(p.g - (l.g + r.g + u.g) / 3) AS dg, abs(p.b - (l.b + r.b + u.b) / 3) AS db FROM rgb p JOIN rgb l ON l.image_id = p.image_id AND l.y = p.y AND l.x = greatest(0, p.x - 1) JOIN rgb r ON r.image_id = p.image_id AND r.y = p.y AND r.x = least(7, p.x + 1) JOIN rgb u ON u.image_id = p.image_id AND u.x = p.x AND u.y = greatest(0, p.y - 1))
+SELECT image_id, parity::INTEGER AS parity, round(avg(dr), 6) AS red, round(avg(dg), 6) AS green, round(avg(db), 6) AS blue FROM n GROUP BY image_id, parity""")
 def image_cfa(spark, sf):
-    rows = ops.cfa_parity_residuals(_rgb(spark, sf)).select("image_id", F.posexplode("residuals").alias("i", "v"))
-    return rows.where("i % 3 = 2").select("image_id", F.floor(F.col("i") / 3).cast("int").alias("parity"), F.round("v", 6).alias("blue"))
+    rows = ops.cfa_parity_residuals(_rgb(spark, sf)).select("image_id", "residuals", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("parity"))
+    return rows.select("image_id", "parity", *[F.round(F.get("residuals", F.col("parity") * 3 + c), 6).alias(n) for c, n in enumerate(("red", "green", "blue"))])
 
 
 @add("image_rgb24_source", f"WITH {_PX}, {_RGB} SELECT image_id, x, y, round({_BYTE.format('g')} / 255.0::DOUBLE, 6) AS g FROM rgb")
@@ -295,11 +296,11 @@ def forensic_camera_pattern(spark, sf):
     return forensics.camera_pattern(_rgb(spark, sf)).select("image_id", "pattern", F.round("score", 5).alias("score"), F.round("confidence", 5).alias("confidence"))
 
 
-@add("forensic_combine_scores", "SELECT user_id AS image_id, round(least(1, sum(s * c * w) / sum(c * w)), 6) AS score, round(least(1, sum(c * w) / sum(w)), 6) AS confidence FROM (SELECT user_id, (event_id % 10) / 10.0::DOUBLE AS s, (event_id % 7) / 7.0::DOUBLE AS c, (event_id % 3) / 4.0::DOUBLE AS w FROM events) WHERE c > 0 AND w > 0 GROUP BY user_id")
+@add("forensic_combine_scores", "SELECT user_id AS image_id, coalesce(round(least(1, sum(s * c * w) FILTER (c > 0 AND w > 0) / sum(c * w) FILTER (c > 0 AND w > 0)), 6), 0) AS score, coalesce(round(least(1, sum(c * w) FILTER (c > 0 AND w > 0) / sum(w) FILTER (c > 0 AND w > 0)), 6), 0) AS confidence FROM (SELECT user_id, (event_id % 10) / 10.0::DOUBLE AS s, (event_id % 7) / 7.0::DOUBLE AS c, (event_id % 3) / 4.0::DOUBLE AS w FROM events) GROUP BY user_id")
 def forensic_combine(spark, sf):
     part = lambda n, d: ((F.col("event_id") % n) / d).cast("double")
     rows = table(spark, sf, "events").select(F.col("user_id").alias("image_id"), part(10, 10).alias("score"), part(7, 7).alias("confidence"), part(3, 4).alias("weight"))
-    return forensics.combined_score(rows).where("confidence > 0").select("image_id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+    return forensics.combined_score(rows).select("image_id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
 
 
 @add("forensic_metadata_markers", "SELECT page_id, (contains(t, 'dalle') OR contains(t, 'firefly') OR contains(t, 'midjourney') OR contains(t, 'comfyui') OR contains(t, 'dall-e') OR contains(t, 'invokeai') OR contains(t, 'automatic1111') OR contains(t, 'stable diffusion') OR contains(t, 'generative fill')) AS explicit FROM (SELECT page_id, lower(concat_ws(' ', url, CASE page_id % 5 WHEN 0 THEN 'DALLE 3' WHEN 1 THEN 'FireFly' END)) AS t FROM pages)")

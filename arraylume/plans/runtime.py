@@ -88,11 +88,13 @@ class Context:
             df = df.repartition(max(1, -(-n // max(chunk, 1))))
         return df.coalesce(o.max_parallelism) if o.max_parallelism else df
 
-    def diagnose(self, df: DataFrame) -> tuple[list, Diagnostics]:
-        """Runs a plan and reports on it."""
+    def diagnose(self, df: DataFrame, fetch: bool = True) -> tuple[list | None, Diagnostics]:
+        """Runs a plan and reports on it. Without ``fetch`` all rows are made but none
+        comes to the driver, and there is None instead of them."""
         seen = Observation()
         began = time.perf_counter()
-        rows = df.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+        watched = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        rows = watched.collect() if fetch else watched.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
         used = "spark"
         reason = "Spark chooses the physical plan" if self.options.backend == "auto" else f"{self.options.backend} asked for; Spark's executors stand for it"

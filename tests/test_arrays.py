@@ -10,6 +10,7 @@ from arraylume.functions import expression as e
 from arraylume.functions.errors import BackendNotSupportedError, BackendUnavailableError, BufferMismatchError, MemoryBudgetExceededError
 from arraylume.operators import elementwise, fourier, signal, statistics
 from arraylume.operators import reduce as reductions
+from arraylume.operators import series
 from arraylume.operators.series import neighbours
 from arraylume.plans.pipeline import PreparedMap
 from arraylume.plans.runtime import Context, Options
@@ -107,6 +108,28 @@ def test_statistics(spark):
     assert statistics.autocorrelation(from_values(spark, [1, 2, 3, 4], "double").df, 0).first()["value"] == pytest.approx(1)
 
 
+def test_autocorrelation_beyond_a_block(spark):
+    df = spark.range(70_200).select(F.lit(1).alias("series_id"), F.col("id").alias("idx"), F.sin(F.col("id") * F.col("id") % 977).alias("value"))
+    v = np.array([r[0] for r in df.orderBy("idx").select("value").collect()])
+    assert statistics.autocorrelation(df, 70_000).first()["value"] == pytest.approx(np.corrcoef(v[:-70_000], v[70_000:])[0, 1], abs=1e-9)
+    with pytest.raises(Exception, match="lag exceeds the series"):
+        statistics.autocorrelation(df, 70_200).collect()
+
+
+def test_neighbours_go_by_idx(spark):
+    df = spark.createDataFrame([(1, i, float(i)) for i in (0, 1, 3, 4)], "series_id int, idx long, value double")
+    got = [(r["b"], r["a"]) for r in neighbours(df, {"b": -1, "a": 1}).orderBy("idx").collect()]
+    assert got == [(None, 1.0), (0.0, None), (None, 4.0), (3.0, None)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_attach_meets_every_block(spark, block):
+    df = spark.createDataFrame([(s, i, float(i)) for s in (1, 2) for i in range(5 * s)], "series_id int, idx long, value double")
+    rows = df.groupBy("series_id").agg(F.count("*").alias("n"), series.last_block(block))
+    got = sorted(tuple(r) for r in series.attach(df, rows, block).select("series_id", "idx", "value", "n").collect())
+    assert got == [(s, i, float(i), 5 * s) for s in (1, 2) for i in range(5 * s)]
+
+
 def test_entropy_percentiles_and_median(spark):
     df = spark.createDataFrame([("a", 1)] * 4 + [("b", 0)] * 4, "series_id string, count int")
     assert {r[0]: r[1] for r in statistics.shannon_entropy(df).collect()} == {"a": 2, "b": 0}
@@ -160,6 +183,8 @@ def test_context(spark):
     df = from_values(spark, list(range(100))).df
     rows, report = Context(spark).diagnose(df)
     assert len(rows) == 100 and report.elements == 100 and report.plan
+    rows, report = Context(spark).diagnose(df, fetch=False)
+    assert rows is None and report.elements == 100
     assert Context(spark, Options(chunk_elements=10)).arrange(df).rdd.getNumPartitions() == 10
     with pytest.raises(MemoryBudgetExceededError):
         Context(spark, Options(memory_budget=16, allow_chunks=False)).arrange(df)
