@@ -238,17 +238,30 @@ def image_rgb24_source(spark, sf):
 
 
 # -- noise, camera, forensics: seeded generators and long compositions ----------------
-@add("image_signal_noise")
+def _noise_sql(a: str, b: str, seed: int) -> str:
+    """Noise on 8x8 images from the subtractive generator, step by step."""
+    return f"""
+WITH RECURSIVE {_PX},
+ seeded(i, v, later) AS (SELECT 0, 161803398 - {seed}::BIGINT, 1::BIGINT UNION ALL SELECT i + 1, later, (v - later + 2147483647) % 2147483647 FROM seeded WHERE i < 54),
+ mixed(n, s) AS (SELECT 0, list(v ORDER BY CASE i WHEN 0 THEN 55 ELSE 21 * i % 55 END) FROM seeded
+  UNION ALL SELECT n + 1, s[1:n % 55] || [(s[n % 55 + 1] - s[1 + (n % 55 + 31) % 55] + 2147483647) % 2147483647] || s[n % 55 + 2:55] FROM mixed WHERE n < 220),
+ drawn(k, s) AS (SELECT 0, s FROM mixed WHERE n = 220 UNION ALL SELECT k + 1, s[2:55] || [(s[1] - s[22] + 2147483647) % 2147483647] FROM drawn WHERE k < 64),
+ u AS (SELECT k - 1 AS i, s[55] / 2147483647::DOUBLE AS u FROM drawn WHERE k > 0),
+ z AS (SELECT f.i + j AS i, sqrt(-2 * ln(f.u)) * CASE j WHEN 0 THEN cos(2 * pi() * t.u) ELSE sin(2 * pi() * t.u) END AS z FROM u f JOIN u t ON f.i % 2 = 0 AND t.i = f.i + 1, range(2) AS r(j))
+SELECT image_id, x, y, round(greatest(0, least(1, v + sqrt(greatest(0, {a} * v + {b})) * z)), 5) + 0.0 AS value FROM px JOIN z ON i = 8 * y + x"""
+
+
+@add("image_signal_noise", _noise_sql("0.002::DOUBLE", "0.0001::DOUBLE", 42))
 def image_signal_noise(spark, sf):
     return _pixels(ops.signal_noise(_grey(spark, sf), 0.002, 0.0001, 42))
 
 
-@add("image_shot_noise")
+@add("image_shot_noise", _noise_sql("0.002::DOUBLE", "0", 7))
 def image_shot_noise(spark, sf):
     return _pixels(ops.shot_noise(_grey(spark, sf), 0.002, 7))
 
 
-@add("image_read_noise")
+@add("image_read_noise", _noise_sql("0", "0.01::DOUBLE * 0.01", 7))
 def image_read_noise(spark, sf):
     return _pixels(ops.read_noise(_grey(spark, sf), 0.01, 7))
 
