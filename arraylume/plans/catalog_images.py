@@ -3,6 +3,8 @@ by 8 grey pixels, moved into about 0..1, and three planes made of them."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,6 +35,17 @@ def _pixels(df, digits: int = 5):
     return ops.pixels(df, "value").select("image_id", "x", "y", (F.round("value", digits) + 0.0).alias("value"))
 
 
+# Weights of the SQL, apart from those of the operators.
+_SOBEL_X = [[-0.125, 0, 0.125], [-0.25, 0, 0.25], [-0.125, 0, 0.125]]
+_SOBEL_Y = [[-0.125, -0.25, -0.125], [0, 0, 0], [0.125, 0.25, 0.125]]
+_LAPLACE = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
+
+
+def _gauss(r: int, sigma: float) -> list[list[float]]:
+    line = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
+    return [[p * q / sum(line) ** 2 for q in line] for p in line]
+
+
 def _conv(kernel, source: str = "px") -> str:
     """SQL of a correlation with edges held."""
     k = np.asarray(kernel, float)
@@ -56,14 +69,14 @@ _plane("image_box_blur", lambda d: ops.box_blur(d, 2), _near(2, "avg(q.v)"))
 _plane("image_low_pass", lambda d: ops.low_pass(d, 1), _near(1, "avg(q.v)"))
 _plane("image_residual", lambda d: ops.residual(d, 1), _near(1, "any_value(p.v) - avg(q.v)"))
 _plane("image_high_pass", lambda d: ops.high_pass(d, 2), _near(2, "any_value(p.v) - avg(q.v)"))
-_plane("image_gaussian_blur", lambda d: ops.gaussian_blur(d, 2), _conv(kernels.gaussian_kernel(2)))
-_plane("image_gradient_x", ops.gradient_x, _conv(kernels.SOBEL_X))
-_plane("image_gradient_y", ops.gradient_y, _conv(kernels.SOBEL_Y))
-_SLOPE = f"(SELECT image_id, x, y, sqrt(a.v * a.v + b.v * b.v) AS v FROM {_conv(kernels.SOBEL_X)} a JOIN {_conv(kernels.SOBEL_Y)} b USING (image_id, x, y))"
+_plane("image_gaussian_blur", lambda d: ops.gaussian_blur(d, 2), _conv(_gauss(2, 1.0)))
+_plane("image_gradient_x", ops.gradient_x, _conv(_SOBEL_X))
+_plane("image_gradient_y", ops.gradient_y, _conv(_SOBEL_Y))
+_SLOPE = f"(SELECT image_id, x, y, sqrt(a.v * a.v + b.v * b.v) AS v FROM {_conv(_SOBEL_X)} a JOIN {_conv(_SOBEL_Y)} b USING (image_id, x, y))"
 _plane("image_sobel", ops.sobel, _SLOPE)
 _plane("image_edge_map", lambda d: ops.edge_map(d, 0.08), _SLOPE, "CASE WHEN v >= 0.08 THEN 1 ELSE 0 END::DOUBLE")
-_plane("image_laplacian", ops.laplacian, _conv(kernels.LAPLACE))
-_plane("image_sharpen", lambda d: ops.sharpen(d, 0.4), _conv(kernels.LAPLACE), "c - 0.4 * v")
+_plane("image_laplacian", ops.laplacian, _conv(_LAPLACE))
+_plane("image_sharpen", lambda d: ops.sharpen(d, 0.4), _conv(_LAPLACE), "c - 0.4 * v")
 _plane("image_local_contrast", lambda d: ops.local_contrast(d, 1), _near(1, "max(q.v) - min(q.v)"))
 _plane("image_local_entropy", lambda d: ops.local_entropy(d, 1, 16), "(SELECT image_id, x, y, -sum(p * log2(p)) AS v FROM (SELECT image_id, x, y, n / sum(n) OVER (PARTITION BY image_id, x, y) AS p FROM (SELECT p.image_id, p.x, p.y, least(15, trunc(greatest(0, least(1, q.v)) * 16)) AS bin, count(*) AS n FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL)) GROUP BY image_id, x, y)")
 _plane("image_crop", lambda d: ops.crop(d, 2, 1, 4, 5), "(SELECT image_id, x - 2 AS x, y - 1 AS y, v FROM px WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 5)")
@@ -179,10 +192,12 @@ for _p in kernels.BAYER:
         lambda spark, sf, p=_p: ops.pixels(ops.to_bayer(_rgb(spark, sf), p), "value").select("image_id", "x", "y", F.round("value", 6).alias("value"))
     )
 _CELL = "CASE 2 * (q.y % 2) + q.x % 2 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END"
+#: The 3 by 3 cells (edges held) of each pixel of a mosaic m, with their channel.
+_CELLS = f"SELECT p.image_id, p.x, p.y, q.v, {_CELL} AS c FROM m p CROSS JOIN (SELECT i - 1 AS dx, j - 1 AS dy FROM range(3) AS r(i), range(3) AS s(j)) k JOIN m q ON q.image_id = p.image_id AND q.x = greatest(0, least(7, p.x + dx)) AND q.y = greatest(0, least(7, p.y + dy))"
 
 
 @add("image_demosaic", f"""WITH {_PX}, {_RGB}, m AS (SELECT image_id, x, y, {_mosaic('grbg')} AS v FROM rgb),
- n AS (SELECT p.image_id, p.x, p.y, q.v, {_CELL} AS c FROM m p CROSS JOIN (SELECT i - 1 AS dx, j - 1 AS dy FROM range(3) AS r(i), range(3) AS s(j)) k JOIN m q ON q.image_id = p.image_id AND q.x = greatest(0, least(7, p.x + dx)) AND q.y = greatest(0, least(7, p.y + dy)))
+ n AS ({_CELLS})
 SELECT image_id, x, y, round(coalesce(avg(v) FILTER (c = 0), 0), 6) AS r, round(coalesce(avg(v) FILTER (c = 1), 0), 6) AS g, round(coalesce(avg(v) FILTER (c = 2), 0), 6) AS b FROM n GROUP BY image_id, x, y""")
 def image_demosaic(spark, sf):
     out = ops.demosaic(ops.to_bayer(_rgb(spark, sf), "grbg"), "grbg")
@@ -238,17 +253,22 @@ def image_rgb24_source(spark, sf):
 
 
 # -- noise, camera, forensics: seeded generators and long compositions ----------------
-def _noise_sql(a: str, b: str, seed: int) -> str:
-    """Noise on 8x8 images from the subtractive generator, step by step."""
-    return f"""
-WITH RECURSIVE {_PX},
- seeded(i, v, later) AS (SELECT 0, 161803398 - {seed}::BIGINT, 1::BIGINT UNION ALL SELECT i + 1, later, (v - later + 2147483647) % 2147483647 FROM seeded WHERE i < 54),
+def _normals(seed: int) -> str:
+    """SQL of z (i, z): 64 normals from the subtractive generator, step by step."""
+    return f"""seeded(i, v, later) AS (SELECT 0, 161803398 - {seed}::BIGINT, 1::BIGINT UNION ALL SELECT i + 1, later, (v - later + 2147483647) % 2147483647 FROM seeded WHERE i < 54),
  mixed(n, s) AS (SELECT 0, list(v ORDER BY CASE i WHEN 0 THEN 55 ELSE 21 * i % 55 END) FROM seeded
   UNION ALL SELECT n + 1, s[1:n % 55] || [(s[n % 55 + 1] - s[1 + (n % 55 + 31) % 55] + 2147483647) % 2147483647] || s[n % 55 + 2:55] FROM mixed WHERE n < 220),
  drawn(k, s) AS (SELECT 0, s FROM mixed WHERE n = 220 UNION ALL SELECT k + 1, s[2:55] || [(s[1] - s[22] + 2147483647) % 2147483647] FROM drawn WHERE k < 64),
  u AS (SELECT k - 1 AS i, s[55] / 2147483647::DOUBLE AS u FROM drawn WHERE k > 0),
- z AS (SELECT f.i + j AS i, sqrt(-2 * ln(f.u)) * CASE j WHEN 0 THEN cos(2 * pi() * t.u) ELSE sin(2 * pi() * t.u) END AS z FROM u f JOIN u t ON f.i % 2 = 0 AND t.i = f.i + 1, range(2) AS r(j))
-SELECT image_id, x, y, round(greatest(0, least(1, v + sqrt(greatest(0, {a} * v + {b})) * z)), 5) + 0.0 AS value FROM px JOIN z ON i = 8 * y + x"""
+ z AS (SELECT f.i + j AS i, sqrt(-2 * ln(f.u)) * CASE j WHEN 0 THEN cos(2 * pi() * t.u) ELSE sin(2 * pi() * t.u) END AS z FROM u f JOIN u t ON f.i % 2 = 0 AND t.i = f.i + 1, range(2) AS r(j))"""
+
+
+def _noisy(a: str, b: str, source: str = "px") -> str:
+    return f"(SELECT image_id, x, y, greatest(0, least(1, v + sqrt(greatest(0, {a} * v + {b})) * z)) AS v FROM {source} JOIN z ON i = 8 * y + x)"
+
+
+def _noise_sql(a: str, b: str, seed: int) -> str:
+    return f"WITH RECURSIVE {_PX}, {_normals(seed)} SELECT image_id, x, y, round(v, 5) + 0.0 AS value FROM {_noisy(a, b)}"
 
 
 @add("image_signal_noise", _noise_sql("0.002::DOUBLE", "0.0001::DOUBLE", 42))
@@ -266,7 +286,17 @@ def image_read_noise(spark, sf):
     return _pixels(ops.read_noise(_grey(spark, sf), 0.01, 7))
 
 
-@add("image_simulate_camera")
+@add("image_simulate_camera", f"""
+WITH RECURSIVE {_PX}, {_RGB}, {_normals(1)},
+ blurred AS (SELECT image_id, x, y, p.v AS r, q.v AS g, s.v AS b FROM {_conv(_gauss(1, 0.5), '(SELECT image_id, x, y, r AS v FROM rgb)')} p JOIN {_conv(_gauss(1, 0.5), '(SELECT image_id, x, y, g AS v FROM rgb)')} q USING (image_id, x, y) JOIN {_conv(_gauss(1, 0.5), '(SELECT image_id, x, y, b AS v FROM rgb)')} s USING (image_id, x, y)),
+ clean AS (SELECT image_id, x, y, {_mosaic('grbg')} AS v FROM blurred),
+ m AS {_noisy("0.001::DOUBLE", "0.0005::DOUBLE * 0.0005", "clean")},
+ n AS ({_CELLS}),
+ d AS (SELECT image_id, x, y, c, avg(v) AS v FROM n GROUP BY ALL),
+ sharp AS (SELECT image_id, x, y, 0 AS c0, c - 0.15 * v AS v FROM {_conv(_LAPLACE, '(SELECT image_id, x, y, v FROM d WHERE c = 0)')}
+  UNION ALL SELECT image_id, x, y, 1, c - 0.15 * v FROM {_conv(_LAPLACE, '(SELECT image_id, x, y, v FROM d WHERE c = 1)')}
+  UNION ALL SELECT image_id, x, y, 2, c - 0.15 * v FROM {_conv(_LAPLACE, '(SELECT image_id, x, y, v FROM d WHERE c = 2)')})
+SELECT image_id, x, y, {', '.join(f'round(greatest(0, least(1, any_value(v) FILTER (c0 = {i}))), 5) AS {c}' for i, c in enumerate('rgb'))} FROM sharp GROUP BY image_id, x, y""")
 def image_simulate_camera(spark, sf):
     out = ops.simulate_camera(_rgb(spark, sf), pattern="grbg", blur=0.5, shot=0.001, read=0.0005, sharpening=0.15)
     return ops.pixels(out, "r", "g", "b").select("image_id", "x", "y", *[F.round(c, 5).alias(c) for c in "rgb"])
@@ -294,8 +324,8 @@ def forensic_noise(spark, sf):
 
 
 @add("forensic_spatial_statistics", f"""WITH {_PX}, {_RGB}, lum AS (SELECT image_id, x, y, 0.2126 * r + 0.7152 * g + 0.0722 * b AS v FROM rgb),
- lap AS (SELECT image_id, var_pop(v) AS lv FROM {_conv(kernels.LAPLACE, 'lum')} GROUP BY image_id),
- slope AS (SELECT image_id, avg(v) AS gm, avg(CASE WHEN v >= 0.08 THEN 1 ELSE 0 END) AS ed FROM (SELECT image_id, x, y, sqrt(a.v * a.v + b.v * b.v) AS v FROM {_conv(kernels.SOBEL_X, 'lum')} a JOIN {_conv(kernels.SOBEL_Y, 'lum')} b USING (image_id, x, y)) GROUP BY image_id)
+ lap AS (SELECT image_id, var_pop(v) AS lv FROM {_conv(_LAPLACE, 'lum')} GROUP BY image_id),
+ slope AS (SELECT image_id, avg(v) AS gm, avg(CASE WHEN v >= 0.08 THEN 1 ELSE 0 END) AS ed FROM (SELECT image_id, x, y, sqrt(a.v * a.v + b.v * b.v) AS v FROM {_conv(_SOBEL_X, 'lum')} a JOIN {_conv(_SOBEL_Y, 'lum')} b USING (image_id, x, y)) GROUP BY image_id)
 SELECT image_id, round(lv, 6) AS laplacian_variance, round(gm, 6) AS gradient_mean, round(ed, 6) AS edge_density FROM lap JOIN slope USING (image_id)""")
 def forensic_spatial(spark, sf):
     f = F.col("features")
