@@ -3,9 +3,13 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
+from collections import defaultdict
 from itertools import combinations
 
+from arraylume.llm import secrets
+
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, shard int, slot long, h long, id long, score double, spans string, key long"
@@ -136,3 +140,47 @@ def url(value, rules):
 
 def crc(data):
     return zlib.crc32(data)
+
+
+def secret_spans(text, table, threshold):
+    """The base spans and all spans of a text, as the query joins them."""
+    text = text or ""
+    found = [("assign", *m.span()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    base = sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+    for m in re.finditer(secrets.TOKEN, text):
+        code = [secrets.ALPHABET.index(c) for c in m[0]]
+        mean = sum(table[a * secrets.WIDTH + b] for a, b in zip(code, code[1:])) / (len(code) - 1)
+        if mean >= threshold and not any(s < m.end() and m.start() < e for _, s, e in base):
+            found.append(("markov", *m.span()))
+    every = sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+    return [",".join(f"{k}:{s}:{e}" for k, s, e in x) for x in (base, every)]
+
+
+def redacted(text, table, threshold):
+    text, out, at = text or "", "", 0
+    for s, e in [tuple(map(int, x.split(":")[1:])) for x in secret_spans(text, table, threshold)[1].split(",") if x]:
+        if s >= at:
+            out += text[at:s] + "[secret]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def check_packed(rows, ids, capacity):
+    """Checks pieces against the ids of each document: every id lies in exactly one
+    piece, windows have no gap and don't exceed the capacity. Returns how many there are."""
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in rows:
+        data = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == crc(struct.pack(f"<{len(data)}I", *data)) and len(data) == r["length"] > 0 and r["doc_tokens"] == len(ids[r["doc_id"]])
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    for found, sizes in ((pieces, {k: len(v) for k, v in ids.items()}), (windows, None)):
+        for key, parts in found.items():
+            at = 0
+            for start, length in sorted(parts):
+                assert start == at
+                at += length
+            assert at == sizes[key] if sizes else at <= capacity
+    return len(windows)
